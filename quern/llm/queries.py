@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, quality, sharding
+from quern.llm import dac, mixing, packing, quality, sharding
 from quern.plans.registry import Registry
 from quern.session import table
 
@@ -77,3 +77,17 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@REGISTRY.add("op2_token_codes")
+def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, written to files of directly addressable codes and read back."""
+    read = dac.round_trip(table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@REGISTRY.add("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
