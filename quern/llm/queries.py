@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dac, mixing, packing, quality, sharding, simhash, toxicity
+from quern.llm import dac, mixing, packing, pii, quality, sharding, simhash, toxicity
 from quern.plans.registry import Registry
 from quern.session import table
 
@@ -108,3 +108,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@REGISTRY.add("op6_surrogates")
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal data and secrets replaced."""
+    replaced = pii.replace(table(spark, sf_dir, "documents"))
+    return replaced.select("row.doc_id", F.col("new_text").alias("text"), "n_replaced")
