@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dac, mixing, packing, pii, quality, sharding, simhash, toxicity
+from quern.llm import dac, mixing, packing, pii, quality, sharding, simhash, toxicity, vptree, warc
 from quern.plans.registry import Registry
 from quern.session import table
 
@@ -115,3 +115,27 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal data and secrets replaced."""
     replaced = pii.replace(table(spark, sf_dir, "documents"))
     return replaced.select("row.doc_id", F.col("new_text").alias("text"), "n_replaced")
+
+
+@REGISTRY.add("op5_vantage_trees")
+def op5_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.search(vptree.build(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@REGISTRY.add(
+    "op4_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, payload_bytes,
+      array_to_string(list_transform(range(0, 8), lambda g:
+        array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(x, 5 * g + 1, 5)) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM h""",
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to archives and read back by the salvage reader."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.filter("gap_start IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
