@@ -184,7 +184,8 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Every row's doc_id, text_hash, fp and component_id: the smallest doc_id reachable over links, its own row's included.
+    """Every row's doc_id, text_hash, fp, root (its component's least fingerprint) and component_id: the smallest doc_id reachable over
+    links, its own row's included.
 
     Null texts count as empty; texts without words have fingerprint zero and are linked like others. Null doc_ids are never the
     smallest, unless a component has no other (then component_id is null). Repeated rows share a class. An empty table gives none. Rows are shuffled as
@@ -195,21 +196,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = written(components(links(classes.select("fp"), radius)), "roots")
     rooted = written(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    labelled = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "labelled")
-    return prints.join(labelled, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    labelled = written(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "labelled")
+    return prints.join(labelled, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The input rows that stay: of each component the one of the smallest doc_id.
+    """The input rows that stay: of each component the one of the smallest doc_id, null ids last.
 
-    Among rows of that doc_id in a component, the smallest text hash stays, once. A component whose ids are all null keeps one row of each
-    different fingerprint's smallest text hash. All columns of the input come back unchanged.
+    Among rows of that doc_id in a component, the smallest text hash stays, once. All columns of the input come back unchanged. Texts are
+    shuffled once, by id and text hash.
     """
-    judged = near_duplicates(docs, radius)
-    stays = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(F.lit(0))
-    kept = written(stays.groupBy("doc_id", group.alias("_group")).agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "survivors")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none_"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("text_hash").alias("hash_")))
+    kept = written(near_duplicates(docs, radius).groupBy("root").agg(first.alias("first")).select("first.*").distinct(), "survivors")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("doc_id").isNull().alias("none_"), F.xxhash64("text").alias("hash_"))
-    kept = kept.select(F.coalesce("_id", F.lit(-1)).alias("id_"), F.col("_id").isNull().alias("none_"), F.col("_hash").alias("hash_"))
     joined = rows.join(kept, ["id_", "none_", "hash_"], "left_semi")
     return joined.dropDuplicates(["id_", "none_", "hash_"]).select("row.*")
