@@ -155,8 +155,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids:
     return written(dealt.mapInArrow(save, "file string, part long, n_docs long, n_ids long"), "manifest")
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document in the files: doc_id, start (ids before it in all files), n_tokens, ids (binary, 32-bit little-endian).
+def read(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """Every document in the files: doc_id, start (ids before it in all files), n_tokens, ids (binary, 32-bit little-endian; left out
+    without ``with_ids``), ids_crc32 (of these bytes, unsigned).
 
     Files' starts are summed within a writing task's files, then over tasks (a row each).
     """
@@ -179,21 +180,23 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             "doc_id": pa.array([d for d, _, _ in found], pa.int64()),
                             "at": pa.array([s for _, s, _ in found], pa.int64()),
                             "n_tokens": pa.array([len(x) for _, _, x in found], pa.int64()),
-                            "ids": pa.array([x.astype("<u4").tobytes() for _, _, x in found], pa.binary()),
+                            "ids_crc32": pa.array([crc(x) for _, _, x in found], pa.int64()),
+                            "ids": pa.array([x.astype("<u4").tobytes() if with_ids else None for _, _, x in found], pa.binary()),
                         }
                     )
 
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").select(*columns)
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    loaded = files.mapInArrow(load, "file string, doc_id long, at long, n_tokens long, ids binary")
-    return join_small(loaded, bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    loaded = files.mapInArrow(load, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    return join_small(loaded, bases, "file").withColumn("start", F.col("base") + F.col("at")).select(*columns)
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """Writes all documents to a new shared folder and reads them back."""
     folder = shared_dir(docs.sparkSession, "dac")
-    return read(write(docs, folder, vocabulary), folder)
+    return read(write(docs, folder, vocabulary), folder, with_ids)
 
 
 def crc(ids: np.ndarray) -> int:

@@ -8,6 +8,7 @@ one task, until one rest is left in all. That one is cut into powers of two, whi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ LENGTH = 1024
 OPEN = 32
 #: Rests merged by one task.
 FAN_IN = 64
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, _group long"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary, _group long"
 _ROUND, _GROUP = 56, 28
 _BATCH_IDS = 1_000_000
 
@@ -91,19 +92,20 @@ def powers(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield window
 
 
-def _rows(windows: Iterable[tuple[int | None, list[Piece]]], group: int) -> Iterator[pa.RecordBatch]:
-    """Windows as batches of piece rows; a rest has no sequence_id."""
+def _rows(windows: Iterable[tuple[int | None, list[Piece]]], group: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Windows as batches of piece rows; a rest has no sequence_id, and always its ids."""
     out: list[tuple] = []
     size = 0
 
     def batch() -> pa.RecordBatch:
-        kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("_group", pa.int64())]
+        kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("_group", pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
 
     for number, pieces in windows:
         at = 0
         for doc_id, start, total, ids in pieces:
-            out.append((doc_id, start, len(ids), total, number, at, ids.astype("<u4").tobytes(), group))
+            raw = ids.astype("<u4").tobytes()
+            out.append((doc_id, start, len(ids), total, number, at, zlib.crc32(raw), raw if with_ids or number is None else None, group))
             at += len(ids)
         size += at
         if size >= _BATCH_IDS:
@@ -113,9 +115,9 @@ def _rows(windows: Iterable[tuple[int | None, list[Piece]]], group: int) -> Iter
         yield batch()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, windows: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, windows: int = OPEN, with_ids: bool = True) -> DataFrame:
     """Packs all documents. Returns a row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, 32-bit
-    little-endian).
+    little-endian; left out without ``with_ids``), ids_crc32 (of these bytes, unsigned).
 
     Null texts are empty: the end id alone is packed. Null and repeated doc_ids are packed row by row. No documents: no pieces. Memory: ``windows``
     open windows and one document per task; rests are under one window a partition, merged ``FAN_IN`` to a task. Each round is written
@@ -129,10 +131,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, w
                 ids = encoder.ended(text.as_py())
                 packer.add((doc_id, 0, len(ids), ids))
                 if len(packer.full) >= _BATCH_IDS // length:
-                    yield from _rows([(part << _GROUP | number + i, w) for i, w in enumerate(packer.full)], part)
+                    yield from _rows([(part << _GROUP | number + i, w) for i, w in enumerate(packer.full)], part, with_ids)
                     number, packer.full = number + len(packer.full), []
         rest = packer.finish()
-        yield from _rows([*((part << _GROUP | number + i, w) for i, w in enumerate(packer.full)), (None, rest)], part)
+        yield from _rows([*((part << _GROUP | number + i, w) for i, w in enumerate(packer.full)), (None, rest)], part, with_ids)
 
     def later(turn: int, last: bool):
         def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, w
                 rest = packer.finish()
                 ends = list(powers(rest)) if last else []
                 full = [*packer.full, *ends]
-                yield from _rows([*((turn << _ROUND | group << _GROUP | i, w) for i, w in enumerate(full)), (None, [] if last else rest)], group)
+                yield from _rows([*((turn << _ROUND | group << _GROUP | i, w) for i, w in enumerate(full)), (None, [] if last else rest)], group, with_ids)
 
             for batch in batches:
                 for row in batch.to_pylist():
@@ -172,4 +174,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, w
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.drop("_group")
+    return out.drop("_group") if with_ids else out.drop("_group", "ids")

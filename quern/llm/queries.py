@@ -82,15 +82,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op2_token_codes")
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, written to files of directly addressable codes and read back."""
-    read = dac.round_trip(table(spark, sf_dir, "documents"))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    read = dac.round_trip(table(spark, sf_dir, "documents"), with_ids=False)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @REGISTRY.add("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 ids."""
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @REGISTRY.add("op7_simhash")
