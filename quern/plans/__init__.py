@@ -1,5 +1,5 @@
 """Registered queries over the tables of a data folder."""
 
-from quern.plans import selection
+from quern.plans import relational, selection, streams
 
-REGISTRIES = [selection.REGISTRY]
+REGISTRIES = [selection.REGISTRY, relational.REGISTRY, streams.REGISTRY]

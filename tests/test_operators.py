@@ -1,0 +1,84 @@
+"""Operators on small rows with nulls, ties and repeated rows."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import text
+from quern.operators import evidence, joins, ranking
+from quern.sources import files, papers
+
+
+def t(h):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_asof(spark, sliced):
+    left = spark.createDataFrame([(1, "a", t(5)), (2, "a", t(30)), (3, "b", t(1)), (4, None, t(3)), (5, "a", None), (2, "a", t(30)), (6, "a", t(0)), (7, "a", t(100))], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([("a", t(1), 10), ("a", t(5), 20), ("a", t(5), 21), ("a", None, 99), (None, t(2), 7), ("b", t(2), 8)], "k string, ts timestamp, v int")
+    got = joins.asof_join(left, right, "k", "ts", ["v"], slice_of=F.to_date("_at") if sliced else None)
+    assert got.columns == ["id", "k", "ts", "v"]
+    want = [(1, 21), (2, 21), (2, 21), (3, None), (4, 7), (5, None), (6, None), (7, 21)]
+    assert sorted(((r.id, r.v) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_range_join(spark):
+    points = spark.createDataFrame([(1, 0.5), (2, 3.0), (3, -2.5), (4, None), (2, 3.0)], "p int, x double")
+    spans = spark.createDataFrame([("a", 0.0, 3.0), ("b", -10.0, 10.0), ("c", 3.0, 3.0), ("d", None, 1.0), ("e", 5.0, 1.0)], "s string, lo double, hi double")
+    got = sorted((r.p, r.s) for r in joins.range_join(points, spans, "x", "lo", "hi", 1.5).collect())
+    assert got == [(1, "a"), (1, "b"), (2, "b"), (2, "b"), (3, "b")]
+
+
+def test_salted_join(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("x", 1), (None, 2)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1), ("y", 2)], "k string, w int")
+    assert joins.salted_join(big, small, "k", 4).count() == 50
+
+
+def test_top_k(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", None)], "g string, v int")
+    got = sorted((r.g, r["rank"], r.v) for r in ranking.top_k_per_group(df, ["g"], [F.desc("v")], 2).collect())
+    assert got == [("a", 1, 3), ("a", 2, 1), ("b", 1, None)]
+
+
+@pytest.mark.parametrize(("topic", "parts"), [("信息系统", ("信息系统", None)), ("信息系统＋知识共享", ("信息系统", "知识共享")), ("a + b", ("a", "b")), ("a＋", ("a", None))])
+def test_topics(topic, parts):
+    assert evidence.parse_topic(topic) == parts
+
+
+def test_whitelist_as_a_table(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
+    titles = spark.createDataFrame([("a",), ("a",), (None,)], "title string")
+    assert [r.doc_id for r in evidence.restrict_to_whitelist(docs, titles).collect()] == [1]
+
+
+def test_terms(spark):
+    row = spark.createDataFrame([("信息系统 Adoption adoption 2x 研", None)], "a string, b string").select(text.terms(F.col("a")).alias("a"), text.terms(F.col("b")).alias("b"), text.overlap(text.terms(F.col("a")), text.terms(F.lit("系统 adoption"))).alias("o"), text.trimmed(F.lit("　 x　")).alias("t")).first()
+    assert sorted(row.a) == sorted(["adoption", "2x", "信息", "息系", "系统", "研"]) and row.b == [] and row.t == "x"
+    assert row.o == pytest.approx(2 / 6)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_files(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 0.5)], "i int, s string, d double")
+    path = str(tmp_path / kind)
+    files.write(df, kind, path, by=["s"] if kind == "parquet" else None)
+    back = files.read(spark, kind, path, schema=df.schema)
+    assert sorted(map(tuple, back.select("i", "s", "d").collect())) == [(1, "a", None), (2, "b", 0.5)]
+
+
+def test_files_refuse(spark, tmp_path):
+    for bad in (lambda: files.read(spark, "csv", "x"), lambda: files.read(spark, "nope", "x"), lambda: files.write(spark.range(1), "text", "x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_works(spark, tmp_path):
+    (tmp_path / "w.json").write_text(
+        '{"DOI": "10.1/A", "title": ["T"], "container-title": ["J"], "published": {"date-parts": [[2020, 1]]}, "language": "zh"}\n'
+        '{"DOI": "10.1/a", "title": ["T2"], "published": {"date-parts": [[2021]]}}\nnot json\n{"DOI": null}\n{"DOI": "10.2/b"}\n'
+    )
+    got = {r.doi: (r.title, r.journal, r.year, r.lang) for r in papers.read_works(spark, str(tmp_path / "w.json")).collect()}
+    assert got == {"10.1/a": ("T2", None, 2021, None), "10.2/b": (None, None, None, None)}
