@@ -10,6 +10,7 @@ work units of their own, so a hot bucket is dealt over many tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
@@ -28,28 +29,50 @@ TILE = 1024
 #: Rows compared at once.
 _STEP = 512
 _CHUNK = 1 << 16
+#: Bytes of a text whose words are split at once.
+_PART = 1 << 22
+_BLANK = re.compile(rb"[ \t-\r]")
 _WEIGHT = 64
 
 
-def fingerprint(text: str) -> int:
-    """The fingerprint of a whole text: A-Z lowered, words split at ASCII blanks, 3-word shingles with repeats.
-
-    Fewer words: all of them are the one shingle; none: zero.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    hashes = np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends)), repeat(SEED)), dtype="<u8", count=len(ends))
-    counts = np.zeros(_WEIGHT, dtype=np.int64)
-    for i in range(0, len(hashes), _CHUNK):
-        part = hashes[i : i + _CHUNK]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends)), repeat(SEED)), dtype="<u8", count=len(ends))
+
+
+def _parts(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists that overlap by all but one word of a shingle, so that memory does not grow with the text."""
+    at, carried, out = 0, [], False
+    while at < len(data):
+        blank = _BLANK.search(data, min(at + _PART, len(data)))
+        end = blank.start() if blank else len(data)
+        words = carried + data[at:end].split()
+        at = end
+        if len(words) >= SHINGLE:
+            yield words
+            out = True
+        carried = words[1 - SHINGLE :]
+    if not out:
+        yield carried
+
+
+def fingerprint(text: str) -> int:
+    """The fingerprint of a whole text: A-Z lowered, words split at ASCII blanks, 3-word shingles with repeats.
+
+    Fewer words: all of them are the one shingle; none: zero.
+    """
+    counts, n = np.zeros(_WEIGHT, dtype=np.int64), 0
+    for words in _parts(text.encode("utf-8", "surrogatepass").lower()):
+        hashes = _shingle_hashes(words) if words else np.zeros(0, "<u8")
+        n += len(hashes)
+        for i in range(0, len(hashes), _CHUNK):
+            part = hashes[i : i + _CHUNK]
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u017f\\u2010-\\u2027\\u20ac]")
 END = 0
 DEFAULT = "byte_bpe_50k.json"
+#: A space at which any text may be cut without changing its words.
+CUT = re.compile("(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
+#: Longer texts are cut there, so that working memory does not grow with them.
+PART = 1_000_000
 _REMEMBERED = 300_000
 _LONG = 64
 
@@ -61,6 +65,17 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) <= PART:
+            return self._part(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = CUT.search(text, min(at + PART, len(text)))
+            end = cut.start() if cut else len(text)
+            parts.append(self._part(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _part(self, text: str) -> np.ndarray:
         if ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.frombuffer(b"".join(map(self.words.__getitem__, SPLIT.findall(text))), dtype=self.kind).astype(np.uint32)

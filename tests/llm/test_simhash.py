@@ -37,6 +37,17 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aAbÉ \n"), max_size=60), st.integers(1, 9))
+def test_fingerprint_in_parts(text, part):
+    whole, old = simhash.fingerprint(text), simhash._PART
+    try:
+        simhash._PART = part
+        assert simhash.fingerprint(text) == whole
+    finally:
+        simhash._PART = old
+
+
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_links_against_all_pairs(spark, tile):
     """Clusters of close fingerprints; with small tiles most buckets are cut."""

@@ -22,6 +22,17 @@ def test_ids_are_the_librarys(text):
     assert tokens.encoder().ended(text).tolist() == expected(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab.,' \n\t1é²_"), max_size=60), st.integers(1, 9))
+def test_ids_of_long_texts_in_parts(text, part):
+    old = tokens.PART
+    try:
+        tokens.PART = part
+        assert tokens.encoder().ended(text).tolist() == expected(text)
+    finally:
+        tokens.PART = old
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
 def test_codes_round_trip(ids, data):
@@ -59,7 +70,7 @@ def test_files_round_trip(spark, odd_docs, no_docs):
 
 
 def test_small_files(spark, odd_docs):
-    from quern.llm.common import shared_dir
+    from quern.session import shared_dir
 
     folder = shared_dir(spark, "dac-test")
     manifest = dac.write(odd_docs, folder, file_ids=5)

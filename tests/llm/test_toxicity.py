@@ -50,6 +50,15 @@ def test_every_window_is_scored(net):
     assert together == pytest.approx([toxicity.Scorer(net).logits([t])[0] for t in texts], abs=1e-4)
 
 
+@pytest.mark.parametrize("n", [0, 1, 11, 12, 13, 71, 72, 73, 83, 84, 85, 86, 150, 500])
+def test_long_texts_have_the_same_windows_in_parts(monkeypatch, n):
+    words = [f"w{i}" for i in range(n)]
+    whole = [words[s : s + toxicity.LENGTH] for s in toxicity.windows(n)]
+    monkeypatch.setattr(toxicity, "_PART", 2 * toxicity.STRIDE)
+    parts = list(toxicity.parts_of(" ".join(words)))
+    assert [p[s : s + toxicity.LENGTH] for p in parts for s in toxicity.windows(len(p))] == whole
+
+
 def test_windows_cover_all():
     for n in range(0, 400):
         covered = {i for s in toxicity.windows(n) for i in range(s, min(n, s + toxicity.LENGTH))}
