@@ -36,4 +36,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders handed out so far.
+_made: list[str] = []
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all folders that shared_dir() has handed out. Call it once results are written elsewhere: frames made before read from them."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)

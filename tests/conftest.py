@@ -10,9 +10,10 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    from quern.session import local_session
+    from quern.session import clear_shared, local_session
 
     session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_shared(session)
     session.stop()
