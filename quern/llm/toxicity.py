@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ EPOCHS, BATCH, RATE = 6, 24, 0.01
 LEAST_STEPS = 150
 SEED = 5
 _REMEMBERED, _WINDOWS = 300_000, 2048
+_PART = 10_000 * STRIDE
 _F = np.float32
 
 
@@ -37,6 +38,21 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def parts_of(text: str | None) -> Iterator[list[str]]:
+    """A text's words in lists of ``_PART`` and as many more as its last window needs, so that memory does not grow with the text."""
+    if not text or len(text) <= _PART:
+        yield words_of(text)
+        return
+    found, held, first = (m.group() for m in WORD.finditer(text.lower())), [], True
+    while True:
+        held += islice(found, _PART + LENGTH - STRIDE - len(held))
+        if first or len(held) > LENGTH - STRIDE:
+            yield held
+        if len(held) < _PART + LENGTH - STRIDE:
+            return
+        held, first = held[_PART:], False
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of all words, marked at both ends, and where each word's begin."""
     points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
@@ -277,7 +293,10 @@ class Scorer:
     def logits(self, texts: Iterable[str | None]) -> list[float]:
         """Each text's largest logit over its windows; windows of many texts, or of a part of a long one, go through together."""
         out: list[float] = []
-        held, rows, owner = [], [], []
+        held: list[list[str]] = []
+        whose: list[int] = []
+        rows: list[list[int]] = []
+        owner: list[int] = []
 
         def run() -> None:
             at = np.array(rows, dtype=np.int64)
@@ -288,26 +307,28 @@ class Scorer:
             owner.clear()
 
         def flush() -> None:
-            base = len(out)
-            out.extend([-np.inf] * len(held))
-            for k, ids in enumerate(self._places(held)):
+            for k, ids in zip(whose, self._places(held)):
                 for s in windows(len(ids)):
                     part = ids[s : s + LENGTH]
                     rows.append(part + [0] * (LENGTH - len(part)))
-                    owner.append(base + k)
+                    owner.append(k)
                     if len(rows) >= _WINDOWS:
                         run()
             if rows:
                 run()
             held.clear()
+            whose.clear()
 
         size = 0
         for text in texts:
-            held.append(words_of(text))
-            size += len(held[-1])
-            if size > 400_000:
-                flush()
-                size = 0
+            out.append(-np.inf)
+            for part in parts_of(text):
+                held.append(part)
+                whose.append(len(out) - 1)
+                size += len(part)
+                if size > 400_000:
+                    flush()
+                    size = 0
         if held:
             flush()
         return out
@@ -319,16 +340,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
-    """A net trained on the driver on at most ``sample`` labelled rows of each class, picked by a hash of the id among texts of up to
-    ``SAMPLE_CHARS`` characters, none of them held out. Only the text goes in. Rows without label or text are no training rows."""
-    rows = (
-        labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .select("doc_id", "toxic")
-        .join(docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("_pick"), "text"), "doc_id")
-    )
-    taken = []
+    """A net trained on the driver on at most ``sample`` labelled rows of each class, none of them held out.
+
+    Twice as many ids of each class are picked from the labels alone, by a hash; their texts of up to ``SAMPLE_CHARS`` characters are
+    looked up (a broadcast of four times ``sample`` ids at most, and no shuffle of texts), and the first ``sample`` of each class by the hash go in, as
+    texts only. Rows without label or text are no training rows.
+    """
+    open_ = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    open_ = open_.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("pick"))
+    picked = []
     for label in (0, 1):
-        taken += rows.filter(F.col("toxic") == label).orderBy("_pick", "doc_id", "text").select("text", "toxic").limit(sample).collect()
+        picked += open_.filter(F.col("toxic") == label).orderBy("pick", "doc_id").limit(2 * sample).collect()
+    if not picked:
+        return train([], [])
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, pick long").dropDuplicates(["doc_id"])
+    texts = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select(F.col("doc_id").cast("long"), "text")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "pick").agg(F.min("text").alias("text"))  # repeated ids: one row
+    rows = sorted(found.collect(), key=lambda r: (r.pick, r.doc_id, r.text))
+    taken = [r for label in (0, 1) for r in [r for r in rows if r.toxic == label][:sample]]
     return train([r.text for r in taken], [int(r.toxic) for r in taken])
 
 
