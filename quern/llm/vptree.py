@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_dir, written
+from quern.llm.common import written
+from quern.session import shared_dir
 
-K, LEAF = 20, 64
+K, LEAF = 20, 256
 #: How much harder than exact search pruning is.
 FACTOR = 1.3
 #: Rows to a shard (and so to a tree) about, and queries sent to all shards at once.
@@ -203,8 +204,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
                 for dim, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                     if dim in sent.value:
                         tree, (ids, matrix) = Tree.from_bytes(data.as_py()), sent.value[dim]
-                        for i in range(0, len(ids), 1024):
-                            yield tree.neighbours(ids[i : i + 1024], matrix[i : i + 1024], k, factor)
+                        for i in range(0, len(ids), 4096):
+                            yield tree.neighbours(ids[i : i + 4096], matrix[i : i + 4096], k, factor)
 
         found = index.mapInArrow(look, "query_id long, vec_id long, score double")
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
