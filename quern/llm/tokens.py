@@ -26,7 +26,7 @@ DEFAULT = "byte_bpe_50k.json"
 CUT = re.compile("(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
 #: Longer texts are cut there, so that working memory does not grow with them.
 PART = 1_000_000
-_REMEMBERED = 300_000
+_REMEMBERED = 350_000
 _LONG = 64
 
 
@@ -41,15 +41,24 @@ _id = attrgetter("id")
 
 
 class _Words(dict):
-    """Ids of words as bytes (two to an id, or four for a large vocabulary), which join fast."""
+    """Ids of words as bytes (two to an id, or four for a large vocabulary), which join fast.
+
+    Two generations are kept: when the younger is full it becomes the older, and words still in use come back from there.
+    """
 
     def __init__(self, model, kind: str) -> None:
-        self.model, self.kind, self.letters = model, kind, _byte_letters()
+        self.model, self.kind, self.letters, self.older = model, kind, _byte_letters(), {}
+        model._resize_cache(0)  # the library's own memory of words only costs time below this one
 
     def __missing__(self, word: str) -> bytes:
-        found = array(self.kind, map(_id, self.model.tokenize(word.encode().decode("latin-1").translate(self.letters)))).tobytes()
+        found = self.older.get(word)
+        if found is None:
+            plain = word.isascii() and word.isprintable()
+            letters = word.replace(" ", self.letters[0x20]) if plain else word.encode().decode("latin-1").translate(self.letters)
+            found = array(self.kind, map(_id, self.model.tokenize(letters))).tobytes()
         if len(word) <= _LONG:
             if len(self) >= _REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
