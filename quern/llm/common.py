@@ -39,7 +39,8 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salts: int = 32, boun
         joined = big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_right_key")), how)
         return joined.drop("_right_key")
     right = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("_left_salt", F.pmod(F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
+    plain = [F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]  # maps have no hash
+    left = big.withColumn("_left_salt", F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(salts)).cast("int"))
     on = F.col(key).eqNullSafe(F.col("_right_key")) & (F.col("_left_salt") == F.col("_right_salt"))
     return left.join(right, on, how).drop("_right_key", "_right_salt", "_left_salt")
 

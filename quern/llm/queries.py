@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import dac, mixing, packing, pii, quality, sharding, simhash, toxicity, vptree, warc
+from quern.llm.common import WORD
 from quern.plans.registry import Registry
 from quern.session import table
 
 REGISTRY = Registry()
 SHARDS = [f"shard-{i}" for i in range(sharding.N_SHARDS)]
-_WORD = r"[^\x20\x09-\x0D]+"
 
 
 @REGISTRY.add(
@@ -29,15 +29,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "op8_host_quality",
     rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
+    w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '{WORD}') AS words FROM d),
     g AS (SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
-    h AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(words, i, i + 4)) AS n FROM g),
+    h AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(words, i, i + 4), ' ')) AS n FROM g),
     c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM h WHERE n > 1) GROUP BY r),
     m AS (
       SELECT w.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN c ON c.r = w.r),
     b AS (
@@ -60,7 +60,7 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "op10_mixing",
-    rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+    rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
       CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {mixing.DIGITS})) AS BIGINT) / {float(16**mixing.DIGITS)} AS coin FROM documents),
     s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source),
     w AS (SELECT source, n, 3.0::DOUBLE * n AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),

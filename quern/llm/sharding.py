@@ -66,6 +66,11 @@ def assign(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int
 
 
 def write_shards(assigned: DataFrame, path: str, files_per_shard: int = 8) -> None:
-    """Writes folders shard=0, 1, ...; a shard's rows are dealt over ``files_per_shard`` tasks, so that a hot shard fills no task."""
-    rows = assigned.select("row.*", "shard", F.pmod(F.xxhash64("row"), F.lit(files_per_shard)).alias("_deal"))
+    """Writes folders shard=0, 1, ...; a shard's rows are dealt over ``files_per_shard`` tasks, so that a hot shard
+    fills no task. Rows with a column named shard are refused, as folders could not tell it apart."""
+    inner = [f.name for f in assigned.schema["row"].dataType.fields]
+    plain = [F.col(f"row.`{f.name}`") for f in assigned.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    if "shard" in inner:
+        raise ValueError("the rows have a column named shard already")
+    rows = assigned.select("row.*", "shard", F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(files_per_shard)).alias("_deal"))
     rows.repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)
