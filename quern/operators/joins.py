@@ -50,6 +50,6 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """Inner equi-join that deals each key's big-side rows over ``salts`` tasks; the small side is repeated once per salt."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")]), F.lit(salts)))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [key, "_salt"]).drop("_salt")

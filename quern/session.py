@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; where that is unset (tests), one of this machine is set."""
+    """A new folder's full path (with its store's scheme) under ``spark.checkpoint.dir``; where that is unset (tests), one of this machine is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _made.append(re.sub("^file:/+", "file:///", full))
+    return _made[-1]
 
 
 #: Folders handed out so far.
