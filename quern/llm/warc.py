@@ -157,14 +157,14 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     Payloads of ``least`` bytes or more are stored once: by the page of the smallest page_id; pages of equal payloads get revisit records. Null html is
     an empty payload. A null page_id is never the smallest unless all are; a repeated row revisits its own page_id. The smallest id of each
     digest is summed up before the shuffle, over digests only. Pages are then joined with it; both sides are plain shuffles, so that Spark splits
-    the rows of a very common payload.
+    the rows of a very common payload. A task's rows are sorted, so that if it is repeated it writes the same files.
     """
     hashed = lambda html: F.sha1(_payload(html))
     slim = written(pages.select("page_id", hashed(F.col("html")).alias("sha1"), F.xxhash64("url").alias("tie")), "digests")
     firsts = written(slim.groupBy("sha1").agg(F.min(F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("page_id"), "tie")).alias("first")), "firsts")
     rows = pages.select("page_id", "url", F.col("html"), hashed(F.col("html")).alias("sha1"))
     joined = rows.join(firsts.withColumnsRenamed({"sha1": "sha1_"}), F.col("sha1") == F.col("sha1_")).select("page_id", "url", _payload(F.col("html")).alias("payload"), "sha1", "first.page_id")
-    joined = joined.toDF("page_id", "url", "payload", "sha1", "first_id")
+    joined = joined.toDF("page_id", "url", "payload", "sha1", "first_id").sortWithinPartitions("page_id", "url", "sha1")
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, held, size, count = TaskContext.get().partitionId(), [], [], 0, 0
