@@ -12,6 +12,7 @@ All numbers are little-endian.
 from __future__ import annotations
 
 import json
+import mmap
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -120,6 +121,12 @@ class Codes:
         return (int(self.part["doc_ids"][k]) if self.part["known"][k] else None), start, self.tokens(start, end)
 
 
+def open_file(path: str) -> Codes:
+    """A file on this machine, mapped into memory: reading a token touches the pages that it lies on."""
+    with open(path, "rb") as file:
+        return Codes(memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)))
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all documents to files in ``folder``, in ascending doc_id order over the files' names.
 

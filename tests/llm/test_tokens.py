@@ -54,6 +54,12 @@ def test_every_token_is_addressed():
     assert [codes.token(i) for i in range(len(ids))] == ids.tolist()
 
 
+def test_mapped_file(tmp_path):
+    (tmp_path / "x.dac").write_bytes(dac.pack([4, None], [np.arange(300), np.arange(70_000, 70_003)]))
+    codes = dac.open_file(str(tmp_path / "x.dac"))
+    assert (codes.token(299), codes.token(301), codes.document(1)[0]) == (299, 70_001, None)
+
+
 def test_not_a_file():
     with pytest.raises(ValueError):
         dac.Codes(b"something else entirely")
