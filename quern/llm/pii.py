@@ -30,6 +30,7 @@ PATTERNS = {
     "cloud_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![\p{L}\p{N}_])" + _LABEL + r"[^\s\"',;]{6,}",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d(+.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
+    "ssn": r"(?<![\d.+-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
     "person": r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
@@ -37,7 +38,7 @@ PATTERNS = {
 #: One pattern for all, ordered so that most places fail at one look: kinds that begin a word, then those that begin with a digit or sign.
 PATTERN = (
     r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "cloud_key", "secret", "person")) + ")|"
-    "(?=[+(0-9])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ip", "card")) + ")"
+    "(?=[+(0-9])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "ip", "card")) + ")"
 )
 _LETTERS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[а-я]": "абвгдежзийклмнопрстуфхцчшщыэюя", r"\p{L}": "abcdefghijklmnopqrstuvwxyz"}
 #: Consonants, vowels and endings of made-up names by script.
@@ -76,6 +77,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike("^" + _LABEL), "secret")
         .when(match.rlike(_all_of(PATTERNS["ip"])), "ip")
         .when(match.rlike(_all_of(PATTERNS["phone"])), "phone")
+        .when(match.rlike(_all_of(PATTERNS["ssn"])), "ssn")
         .when(match.rlike(r"^[\d -]+$"), F.when(_luhn_sum(_digits(match)) % 10 == 0, "card"))
         .when(match.rlike(r"^\p{L}"), F.when(female, "person_f").otherwise("person_m"))
     )
@@ -84,7 +86,7 @@ def kind_of(match: Column) -> Column:
 def normal_form(kind: Column, match: Column) -> Column:
     """What tells one entity of a kind from another: case, spacing, labels and titles set aside."""
     return (
-        F.when(kind.isin("phone", "card"), _digits(match))
+        F.when(kind.isin("phone", "card", "ssn"), _digits(match))
         .when(kind == "secret", F.regexp_replace(match, "^" + _LABEL, ""))
         .when(kind.isin("person_f", "person_m"), F.lower(F.regexp_replace(match, r"^\p{L}+\.? ", "")))
         .when(kind == "email", F.lower(match))
@@ -143,6 +145,7 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str = KEY) ->
     code = F.greatest(F.length(normal) - 10, F.lit(0))
     area = _pick("23456789", _byte(stream, F.lit(31)))
     phone = F.concat(F.substring(normal, F.lit(1), code), area, _swapped(F.substring(normal, code + 2, F.length(normal)), stream))
+    ssn = F.concat(_pick("12345678", _byte(stream, F.lit(31))), _swapped(F.substring(normal, 2, 8), stream))
     ip = F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     hexes = {"[0-9a-f]": "0123456789abcdef"}
     secret = F.when(normal.rlike("^[0-9a-f]+$"), _swapped(normal, stream, hexes)).otherwise(_swapped(normal, stream))
@@ -154,9 +157,9 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str = KEY) ->
     ).otherwise(_name(normal, female, F.lit(True), key, tried))
     made = (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip)
-        .when(kind == "secret", secret).when(kind == "cloud_key", cloud).otherwise(person)
+        .when(kind == "secret", secret).when(kind == "cloud_key", cloud).when(kind == "ssn", ssn).otherwise(person)
     )
-    grown = F.when(kind.isin("card", "ip", "phone"), made).when(kind == "email", F.concat(_pick("bcdfghkmnprst", _byte(stream, F.lit(30))), made))
+    grown = F.when(kind.isin("card", "ip", "phone", "ssn"), made).when(kind == "email", F.concat(_pick("bcdfghkmnprst", _byte(stream, F.lit(30))), made))
     return F.when(attempt < GROW, made).otherwise(grown.otherwise(F.concat(made, F.substring(stream, 60, 1))))
 
 
@@ -174,7 +177,7 @@ def written_like(kind: Column, match: Column, core: Column) -> Column:
     name = F.substring(match, F.length(title) + 1, F.length(match))
     cased = F.when(F.upper(name) == name, F.upper(core)).otherwise(F.initcap(core))
     return (
-        F.when(kind.isin("phone", "card"), spaced)
+        F.when(kind.isin("phone", "card", "ssn"), spaced)
         .when(kind == "secret", F.concat(F.regexp_extract(match, "^" + _LABEL, 0), core))
         .when(kind.isin("person_f", "person_m"), F.concat(title, cased))
         .when(kind == "email", F.when(F.upper(match) == match, F.upper(core)).otherwise(core))

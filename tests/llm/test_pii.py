@@ -15,6 +15,7 @@ TEXTS = [
     None,
     "",
     "nothing here",
+    "ssn 536-22-8726, not 1536-22-8726 nor 536-22-87267; tel 415-555-2671.",
 ]
 
 
@@ -45,6 +46,8 @@ def test_kinds_and_coreference(replaced):
     assert ip and ip[1] != "61.131.143.218" and all(0 < int(o) < 255 for o in ip[1].split("."))
     assert re.search(r"AKIA[0-9A-Z]{16}$", replaced[2][0]) and "AKIAMD62" not in replaced[2][0]
     assert re.fullmatch(r'token = "[0-9a-f]{40}" and password=[a-z]{6}\d[a-z]{6}', replaced[3][0])
+    assert replaced[9][1] == 2 and re.fullmatch(r"ssn [1-8]\d\d-\d\d-\d{4}, not 1536-22-8726 nor 536-22-87267; tel [2-9]\d\d-\d{3}-\d{4}\.", replaced[9][0])
+    assert "ssn 536-22-8726" not in replaced[9][0] and "415-555-2671" not in replaced[9][0]
     names = re.fullmatch(r"Mrs (\w+) (\w+) met Mr (\w+) and Frau (\w+) (\w+); Господин ([А-Я][а-я]+) came", replaced[4][0])
     assert names and names[1].endswith("a") and (names[1], names[2]) == (names[4], names[5]) and names[2] == names[3] != "Schmidt"
 
