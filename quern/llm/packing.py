@@ -98,7 +98,7 @@ def _rows(windows: Iterable[tuple[int | None, list[Piece]]], group: int, with_id
     size = 0
 
     def batch() -> pa.RecordBatch:
-        kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("_group", pa.int64())]
+        kinds = [(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in (c.split(" ") for c in SCHEMA.split(", "))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
 
     for number, pieces in windows:
