@@ -17,8 +17,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list
     right row of every slice (one row each) is carried into the slices after it.
     """
     packed = F.struct(*[F.col(c) for c in columns])
-    l = left.select(F.struct("*").alias("_row"), F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed.alias("x")).schema[0].dataType).alias("_v"))
-    r = right.filter(F.col(at).isNotNull()).select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(0).alias("_side"), packed.alias("_v"))
+    kind = right.select(packed.alias("x")).schema[0].dataType
+    keys = [F.col(by).alias("_by"), F.col(at).alias("_at")]
+    l = left.select(F.struct("*").alias("_row"), *keys, F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
+    no_row = F.lit(None).cast(l.schema["_row"].dataType).alias("_row")
+    r = right.filter(F.col(at).isNotNull()).select(no_row, *keys, F.lit(0).alias("_side"), packed.alias("_v"))
     both = l.unionByName(r)
     order = [F.col("_at").asc_nulls_first(), F.col("_side"), F.col("_v")]
     if slice_of is None:
