@@ -151,6 +151,15 @@ define(
     "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}",
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
 )
+define(
+    "scalar_variant",
+    "SELECT event_id, variant_get(parse_json(props), '$.k', 'INT') AS k FROM {events} WHERE event_type = 'click'",
+    "SELECT event_id, CAST(props->>'k' AS INT) AS k FROM events WHERE event_type = 'click'",
+)
+define(
+    "scalar_edit_distance",
+    "SELECT a.r_name AS one, b.r_name AS other, CAST(levenshtein(a.r_name, b.r_name) AS INT) AS steps FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey",
+)
 define(
     "scalar_json_struct",
     "SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT from_json(props, 'k INT').k AS k FROM {events}) GROUP BY k",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as topics
 from quern.operators import evidence
 from quern.plans.registry import Registry
 from quern.session import table
@@ -101,3 +102,19 @@ def directions_bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count_if(en).alias("n_en"), F.count_if(~en).alias("n_other"))
         .filter("n_en > 0 AND n_other > 0")
     )
+
+
+TOPIC = "the nation of information and them"
+
+
+@REGISTRY.add(
+    "docs_ranked_by_topic",
+    f"""WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS terms FROM documents),
+    s AS (SELECT doc_id, source, len(list_intersect(terms, {TOPIC.split()})) AS shared, len(terms) AS n FROM t)
+    SELECT doc_id, source, round(shared / (n + {len(set(TOPIC.split()))} - shared), 6) AS similarity FROM s ORDER BY similarity DESC, doc_id LIMIT 20""",
+)
+def docs_ranked_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: the twenty documents whose terms overlap most with a topic's; ties go to the smaller id."""
+    similarity = F.round(topics.overlap(topics.terms(F.col("text")), topics.terms(F.lit(TOPIC))), 6)
+    ranked = table(spark, sf_dir, "documents").select("doc_id", "source", similarity.alias("similarity"))
+    return ranked.orderBy(F.desc("similarity"), "doc_id").limit(20)
