@@ -35,16 +35,16 @@ _BLANK = re.compile(rb"[ \t-\r]")
 _WEIGHT = 64
 
 
-def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+def _shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
-    ends = ends[min(SHINGLE, len(words)) - 1 :].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
     return np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends)), repeat(SEED)), dtype="<u8", count=len(ends))
 
 
-def _parts(data: bytes) -> Iterator[list[bytes]]:
+def _parts(data: bytes, shingle: int = SHINGLE) -> Iterator[list[bytes]]:
     """The words of a text in lists that overlap by all but one word of a shingle, so that memory does not grow with the text."""
     at, carried, out = 0, [], False
     while at < len(data):
@@ -52,10 +52,10 @@ def _parts(data: bytes) -> Iterator[list[bytes]]:
         end = blank.start() if blank else len(data)
         words = carried + data[at:end].split()
         at = end
-        if len(words) >= SHINGLE:
+        if len(words) >= shingle:
             yield words
             out = True
-        carried = words[1 - SHINGLE :]
+        carried = words[1 - shingle :]
     if not out:
         yield carried
 
@@ -225,8 +225,13 @@ def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Among rows of that doc_id in a component, the smallest text hash stays, once. All columns of the input come back unchanged. Texts are
     shuffled once, by id and text hash.
     """
+    return first_of_each(docs, near_duplicates(docs, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by the doc_id, text_hash and root that ``found`` has of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none_"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("text_hash").alias("hash_")))
-    kept = written(near_duplicates(docs, radius).groupBy("root").agg(first.alias("first")).select("first.*").distinct(), "survivors")
+    kept = written(found.groupBy("root").agg(first.alias("first")).select("first.*").distinct(), "survivors")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("doc_id").isNull().alias("none_"), F.xxhash64("text").alias("hash_"))
     joined = rows.join(kept, ["id_", "none_", "hash_"], "left_semi")
     return joined.dropDuplicates(["id_", "none_", "hash_"]).select("row.*")
