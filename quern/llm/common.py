@@ -45,6 +45,11 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salts: int = 32, boun
     return left.join(right, on, how).drop("_right_key", "_right_salt", "_left_salt")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row: inside a lambda, a plain column is worked out again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; none for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")

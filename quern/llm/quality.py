@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANKS, WORD, join_small, written
+from quern.llm.common import BLANKS, WORD, join_small, let, written
 
 #: Fixed set of symbol characters.
 SYMBOLS = "#*$%&|<>"
@@ -21,11 +21,6 @@ MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once a row: inside a lambda, a plain column is worked out again for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _window_hashes(words: Column) -> Column:
     """A hash of each run of WINDOW words, in order; empty for shorter texts."""
 
@@ -34,7 +29,7 @@ def _window_hashes(words: Column) -> Column:
         found = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(WINDOW)]))
         return F.when(F.size(hashed) >= WINDOW, found).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
 def _covered(hashes: Column) -> Column:
@@ -46,7 +41,7 @@ def _covered(hashes: Column) -> Column:
         return F.filter(placed, lambda x, k: same(x, k - 1) | same(x, k + 1))
 
     placed = F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(1), F.size(hashes)).alias("i")))
-    starts = F.sort_array(F.transform(_let(placed, repeated), lambda x: x["i"]))
+    starts = F.sort_array(F.transform(let(placed, repeated), lambda x: x["i"]))
     return F.aggregate(
         starts,
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")),
@@ -79,7 +74,7 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
         "word_chars",
         "n_symbols",
         (F.size("_lines") - distinct("_lines")).cast("long").alias("n_dup_lines"),
-        F.when(distinct("_hashes") == F.size("_hashes"), 0).otherwise(_let(F.col("_hashes"), _covered)).cast("long").alias("n_repeat_words"),
+        F.when(distinct("_hashes") == F.size("_hashes"), 0).otherwise(let(F.col("_hashes"), _covered)).cast("long").alias("n_repeat_words"),
     )
     return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
