@@ -25,8 +25,8 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύρι
 NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Mx")
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "dos", "la", "le", "bin", "ibn", "al", "el", "zu", "af", "av", "ter", "ten")
 NO_NAMES = ("the", "and", "but", "for", "not", "this", "that", "these", "those", "they", "she", "his", "her", "you", "der", "die", "das", "und", "les", "los", "las", "una")
-#: Signs without which a text holds no title.
-_TITLE_SIGNS = ("Mr", "MR", "Ms", "Mi", "Mme", "Ma", "Mo", "Mx", "MS", "MI", "Dr", "DR", "Do", "Prof", "PROF", "Fra", "FRAU", "Her", "HERR", "Se", "Sr", "Госп", "Κυρ", "Κύρ")
+#: Signs of secrets that need hold no digit.
+_TOKEN_SIGNS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "sk-", "xox", "eyJ")
 
 #: Fixed patterns of entities. No group is repeated without a bound, as Java's engine would recurse once per turn.
 _TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
@@ -95,14 +95,17 @@ _GREEK, _CYRILLIC, _LATIN = r"\p{IsGreek}", r"\p{IsCyrillic}", r"\p{IsLatin}"
 def holds_name(text: Column) -> Column:
     """Whether a text holds a name after a title."""
     signs = F.lit(False)
-    for sign in _TITLE_SIGNS:
-        signs |= text.contains(sign)
+    for title in FEMALE + MALE + NEUTRAL:
+        for end in (" ", ". "):
+            signs |= text.contains(title + end) | text.contains(title.upper() + end)
     return F.coalesce(signs & text.rlike(PERSON), F.lit(False))
 
 
 def holds_entity(text: Column) -> Column:
     """Whether an entity is found in a text. Each kind has a sign that is quick to look for, and most texts have none."""
-    signs = text.rlike("[@0-9=:]") | text.contains("SIA") | text.contains("KIA") | text.contains("sk-") | text.contains("xox") | text.contains("eyJ") | text.contains("gh")
+    signs = text.rlike("[@0-9=:]")
+    for sign in _TOKEN_SIGNS:
+        signs |= text.contains(sign)
     return F.coalesce(signs & text.rlike(PATTERN), F.lit(False)) | holds_name(text)
 
 
