@@ -127,15 +127,18 @@ def op5_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "op4_warc",
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-    h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+    h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first,
+      row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS place FROM p)
     SELECT page_id, payload_bytes,
       array_to_string(list_transform(range(0, 8), lambda g:
         array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(x, 5 * g + 1, 5)) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
-      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-      CASE WHEN page_id <> first THEN first END AS refers_to
+      CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN place > 1 THEN first END AS refers_to
     FROM h""",
 )
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of all pages, written to archives and read back by the salvage reader."""
+    """The records of all pages, written to archives and read back by the salvage reader. A gap in an archive just written is an error."""
     read = warc.round_trip(table(spark, sf_dir, "pages"))
-    return read.filter("gap_start IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    gap = F.concat(F.lit("damaged archive "), F.col("file"), F.lit(" at "), F.col("gap_start").cast("string"))
+    page_id = F.when(F.col("gap_start").isNotNull(), F.raise_error(gap).cast("long")).otherwise(F.col("page_id"))
+    return read.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

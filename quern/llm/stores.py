@@ -1,7 +1,8 @@
-"""Files that executors write to the shared folder themselves."""
+"""Files that executors write to shared folders, and read there, themselves."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyarrow import fs
@@ -15,3 +16,9 @@ def put(folder: str, name: str, content: bytes) -> None:
     with store.open_output_stream(hidden) as out:
         out.write(content)
     store.move(hidden, f"{path}/{name}")
+
+
+def opened(path: str):
+    """A file, to be read at any place."""
+    store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return store.open_input_file(place)
