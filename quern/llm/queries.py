@@ -61,7 +61,7 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "op10_mixing",
     rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
-      CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {mixing.DIGITS})) AS BIGINT) / {float(16**mixing.DIGITS)} AS coin FROM documents),
+      CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {mixing.DIGITS})) AS BIGINT) AS coin FROM documents),
     s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source),
     w AS (SELECT source, n, 3.0::DOUBLE * n AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
     f AS (SELECT *, (sum(n) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest,
@@ -69,14 +69,15 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
     l AS (SELECT arg_min(rest, cap / weight) AS rest, arg_min(left_weight, cap / weight) AS left_weight FROM f WHERE rest * weight / left_weight <= cap),
     t AS (SELECT w.source, n, CASE WHEN l.rest IS NULL OR l.rest * weight / l.left_weight > cap THEN cap ELSE l.rest * weight / l.left_weight END AS target FROM w, l),
-    r AS (SELECT d.doc_id, d.size, t.n, t.target, d.coin, CASE WHEN t.n > 0 THEN least(t.target / t.n, 3.0::DOUBLE) ELSE 0 END AS rate
+    r AS (SELECT d.doc_id, d.size, t.n, t.target, CASE WHEN t.n > 0 THEN floor(least(t.target / t.n, 3.0::DOUBLE)) ELSE 0 END AS whole,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.coin, d.doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
-      CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
+      CAST(size * (whole + CASE WHEN before + size / 2.0::DOUBLE < target - whole * n THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
 )
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.takes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @REGISTRY.add("op2_token_codes")
