@@ -16,6 +16,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -23,13 +24,15 @@ WORD = re.compile(r"\w+")
 LENGTH, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 GRAMS, BUCKETS, MIN_TEXTS = (3, 4, 5), 1 << 14, 4
-#: The training sample: labelled rows of each class at most, none longer than so many characters.
-SAMPLE, SAMPLE_CHARS = 800, 8000
+#: The training sample: labelled rows of each class at most.
+SAMPLE = 800
 EPOCHS, BATCH, RATE = 6, 24, 0.01
 #: Small samples are gone over more often, up to so many steps.
 LEAST_STEPS = 150
 SEED = 5
 _REMEMBERED, _WINDOWS = 300_000, 2048
+#: Gradients under this are zero in all that follows from them in single precision.
+_NOTHING = 1e-12
 _PART = 10_000 * STRIDE
 _F = np.float32
 
@@ -177,6 +180,23 @@ class Net:
             total[k, flat[order][first]] = np.add.reduceat(d_gates[:, k].reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         return grad | {"gates": total}
 
+    def gradient(self, d_logit: np.ndarray, gates: np.ndarray, laid: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradients of all windows: each part goes forward and backward by itself, without those whose share is nothing."""
+        matters = np.flatnonzero(np.abs(d_logit) > _NOTHING)
+        matters = matters if len(matters) else np.arange(min(1, len(laid)))
+        out: dict[str, np.ndarray] = {}
+        for part in (matters[i : i + _WINDOWS] for i in range(0, len(matters), _WINDOWS)):
+            kept: list = []
+            _, *rest = self.forward(gates, laid[part], _real(laid[part]), kept)
+            for name, g in self.backward(d_logit[part], gates.shape, laid[part], kept, *rest).items():
+                out[name] = out[name] + g if name in out else g
+        return out
+
+
+def _chunks(laid: np.ndarray) -> Iterator[np.ndarray]:
+    """Windows in parts, so that memory does not grow with a text's length."""
+    return (laid[i : i + _WINDOWS] for i in range(0, len(laid), _WINDOWS))
+
 
 def _laid_out(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of all texts over word places (padding is place 0), and the text of each."""
@@ -213,8 +233,8 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
             laid, owner = _laid_out([[names.setdefault(w, len(names) + 1) for w in split[k]] for k in chosen])
             x, (row, bucket, counts, first_gram) = net.inputs(["pad", *names])
             x[0] = 0
-            gates, kept = net.projected(x), []
-            logit, *rest = net.forward(gates, laid, _real(laid), kept)
+            gates = net.projected(x)
+            logit = np.concatenate([net.forward(gates, at, _real(at))[0] for at in _chunks(laid)])
             d_logit, sums = np.zeros_like(logit), np.zeros(len(chosen), _F)
             for k in range(len(chosen)):
                 own = owner == k
@@ -223,7 +243,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
                 sums[k] = (share * logit[own]).sum()
                 error = 1 / (1 + np.exp(-np.clip(sums[k], -30, 30))) - target[chosen[k]]
                 d_logit[own] = error / len(chosen) * share * (1 + logit[own] - sums[k])
-            grad = net.backward(d_logit.astype(_F), gates.shape, laid, kept, *rest)
+            grad = net.gradient(d_logit.astype(_F), gates, laid)
             d_gates = grad.pop("gates")
             grad["b"] = d_gates.sum(axis=1, keepdims=True)
             grad["w"] = np.swapaxes(np.broadcast_to(x, (2, *x.shape)), 1, 2) @ d_gates
@@ -342,21 +362,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """A net trained on the driver on at most ``sample`` labelled rows of each class, none of them held out.
 
-    Twice as many ids of each class are picked from the labels alone, by a hash; their texts of up to ``SAMPLE_CHARS`` characters are
-    looked up (a broadcast of four times ``sample`` ids at most, and no shuffle of texts), and the first ``sample`` of each class by the hash go in, as
-    texts only. Rows without label or text are no training rows.
+    Twice as many ids of each class are picked from the labels alone, by a hash of the id, in one pass; their texts are looked up whole, however long they
+    are (a broadcast of four times ``sample`` ids at most, and no shuffle of texts), and the first ``sample`` of each class by the hash go in, as
+    texts only. An id that is labelled both ways counts as toxic; of an id with several texts the least counts. Rows without label or text are no training rows.
     """
     open_ = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    open_ = open_.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("pick"))
-    picked = []
-    for label in (0, 1):
-        picked += open_.filter(F.col("toxic") == label).orderBy("pick", "doc_id").limit(2 * sample).collect()
+    open_ = open_.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    open_ = open_.withColumn("pick", F.xxhash64("doc_id", F.lit(SEED)))
+    place = F.row_number().over(W.partitionBy("toxic").orderBy("pick", "doc_id"))  # Spark cuts to the first rows before the shuffle too
+    picked = open_.withColumn("_n", place).filter(F.col("_n") <= 2 * sample).select("doc_id", "toxic", "pick").collect()
     if not picked:
         return train([], [])
-    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, pick long").dropDuplicates(["doc_id"])
-    texts = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "pick").agg(F.min("text").alias("text"))  # repeated ids: one row
-    rows = sorted(found.collect(), key=lambda r: (r.pick, r.doc_id, r.text))
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, pick long")
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long"), "text")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "pick").agg(F.min("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: (r.pick, r.doc_id))
     taken = [r for label in (0, 1) for r in [r for r in rows if r.toxic == label][:sample]]
     return train([r.text for r in taken], [int(r.toxic) for r in taken])
 
