@@ -1,7 +1,7 @@
 """Host-level quality rules, with DataFrame functions only.
 
-Documents are measured one by one (base rules). Failures are summed by host, host rates are shrunk with a beta prior
-fitted to all hosts by the method of moments, and a host whose shrunk rate passes a limit loses its documents.
+Documents are measured one by one and held against several rules. Failures of each rule are summed by host, each rule's host rates are shrunk with a beta
+prior fitted to all hosts by the method of moments, and a host of which any rule's shrunk rate passes a limit loses its documents.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ MIN_WORDS = 10
 WINDOW = 5
 #: A text fails if over this share (in hundredths) of its words repeat.
 MAX_REPEAT_PERCENT = 20
-#: A host is turned down if its shrunk failure rate is above this.
+#: A text fails if over so many of a hundred words' worth of symbols, if over so many hundredths of its lines repeat, or if its words' mean length lies outside these.
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MIN_MEAN_WORD, MAX_MEAN_WORD = 10, 30, 2, 15
+#: A host is turned down if the shrunk failure rate of any rule is above this.
 MAX_HOST_RATE = 0.5
+#: The rules. A text that fails one of the first two fails itself; the others tell on hosts only.
+RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
 
 
 def _window_hashes(words: Column) -> Column:
@@ -51,9 +55,10 @@ def _covered(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """Base measures of every text: ``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """Base measures of every text: ``keep`` and n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, base_failed, and failed
+    (a boolean for each of RULES).
 
-    A null text has no words and fails. Windows are compared by 64-bit hashes of their words' 64-bit hashes within one text. The arrays of a
+    A null text has no words and fails. An empty table gives no rows, and columns not kept cannot clash. Windows are compared by 64-bit hashes of their words' 64-bit hashes within one text. The arrays of a
     very long text live in its row alone; the sort runs only for texts in which some window repeats.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -73,46 +78,52 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
         "n_words",
         "word_chars",
         "n_symbols",
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - distinct("_lines")).cast("long").alias("n_dup_lines"),
         F.when(distinct("_hashes") == F.size("_hashes"), 0).otherwise(let(F.col("_hashes"), _covered)).cast("long").alias("n_repeat_words"),
     )
-    return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    n = F.col("n_words")
+    failed = {
+        "few_words": n < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * n,
+        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "word_length": (F.col("word_chars") < MIN_MEAN_WORD * n) | (F.col("word_chars") > MAX_MEAN_WORD * n),
+    }
+    return measured.withColumns({"base_failed": failed["few_words"] | failed["repeats"], "failed": F.struct(*[failed[r].alias(r) for r in RULES])})
 
 
 def host_rates(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per host: documents, failures, rate, shrunk rate and verdict.
+    """Per host: n_docs, n_failed and shrunk (of each of RULES), shrunk_rate (the largest) and host_rejected.
 
-    The prior is beta(a, b) with the hosts' mean rate m and a + b from the variance of their rates beyond what chance gives
+    For each rule the prior is beta(a, b) with the hosts' mean rate m and a + b from the variance of their rates beyond what chance gives
     (method of moments, each host counting once); with no such excess the prior is as strong as the average host is large.
     shrunk = (failures + a) / (documents + a + b). Null hosts are one host. No hosts: no rows.
     """
-    hosts = written(
-        measured.groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed")).withColumn("rate", F.col("n_failed") / F.col("n_docs")),
-        "hosts",
-    )
-    prior = hosts.agg(
-        F.avg("rate").alias("m"),
-        F.coalesce(F.var_pop("rate"), F.lit(0.0)).alias("v"),
-        F.avg(F.lit(1.0) / F.col("n_docs")).alias("inv"),
-        F.avg("n_docs").alias("size"),
-    ).first()
-    if prior.m is None:
-        prior_mean, strength = 0.0, 1.0
-    else:
-        prior_mean, spread = prior.m, prior.m * (1 - prior.m)
-        excess = (prior.v - spread * prior.inv) / max(1 - prior.inv, 1e-9)
-        strength = max(1.0, spread / excess - 1) if excess > 0 else float(prior["size"])
-    shrunk = (F.col("n_failed") + F.lit(prior_mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return written(hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > max_rate), "host_rates")
+    sums = [F.count_if(f"failed.{r}").alias(r) for r in RULES]
+    hosts = written(measured.groupBy(host).agg(F.count("*").alias("n_docs"), *sums), "hosts")
+    moments = [x for r in RULES for x in (F.avg(F.col(r) / F.col("n_docs")).alias(f"m_{r}"), F.coalesce(F.var_pop(F.col(r) / F.col("n_docs")), F.lit(0.0)).alias(f"v_{r}"))]
+    found = hosts.agg(F.avg(F.lit(1.0) / F.col("n_docs")).alias("inv"), F.avg("n_docs").alias("docs"), *moments).first()
+    shrunk = []
+    for rule in RULES:
+        mean, strength = found[f"m_{rule}"] or 0.0, 1.0
+        if found.inv is not None:
+            excess = (found[f"v_{rule}"] - mean * (1 - mean) * found.inv) / max(1 - found.inv, 1e-9)
+            strength = max(1.0, mean * (1 - mean) / excess - 1) if excess > 0 else float(found.docs)
+        shrunk.append(((F.col(rule) + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))).alias(rule))
+    rates = hosts.select(host, "n_docs", F.struct(*RULES).alias("n_failed"), F.struct(*shrunk).alias("shrunk"))
+    rates = rates.withColumn("shrunk_rate", F.greatest(*[F.col(f"shrunk.{r}") for r in RULES]))
+    return written(rates.withColumn("host_rejected", F.col("shrunk_rate") > max_rate), "host_rates")
 
 
 def host_quality(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Every document with its base measures, its host's shrunk rate, and ``kept``: neither failed itself nor of a rejected host.
+    """Every document with its base measures, its host's failures and shrunk rates, and ``kept``: neither failed itself nor of a rejected host.
 
     Measures are written once (a few numbers a row) and read for the hosts' sums and for the join back, which is a checked broadcast or
-    salted: a host with a third of all rows fills no task. Rows with null or repeated ids are judged each for itself.
+    salted: a host with a third of all rows fills no task. Rows with null or repeated ids are judged each for itself. Of the input's columns only doc_id and the
+    host come back, so none can clash. An empty table gives no rows.
     """
     measured = written(measure(docs, "doc_id", host), "measures")
-    rates = host_rates(measured, host, max_rate).select(host, "n_docs", "n_failed", "shrunk_rate", "host_rejected")
-    joined = join_small(measured, rates.withColumnsRenamed({"n_docs": "host_docs", "n_failed": "host_failed"}), host)
+    rates = host_rates(measured, host, max_rate).withColumnsRenamed({"n_docs": "host_docs", "n_failed": "host_failed", "shrunk": "host_shrunk"})
+    joined = join_small(measured, rates, host)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

@@ -41,21 +41,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN c ON c.r = w.r),
     b AS (
-      SELECT r, doc_id, source, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
-        n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-    s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
-    p AS (SELECT avg(f / n) AS mean, coalesce(var_pop(f / n), 0) AS v, avg(1.0 / n) AS inv, avg(n) AS size FROM s),
-    q AS (SELECT mean, size, (v - mean * (1 - mean) * inv) / greatest(1 - inv, 1e-9) AS excess FROM p),
-    k AS (SELECT mean, CASE WHEN excess > 0 THEN greatest(1.0, mean * (1 - mean) / excess - 1) ELSE size END AS strength FROM q),
-    hosts AS (SELECT source, (f + mean * strength) / (n + strength) > {quality.MAX_HOST_RATE} AS rejected FROM s, k)
-    SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,
-      NOT b.base_failed AND NOT hosts.rejected AS kept
-    FROM b JOIN hosts ON b.source IS NOT DISTINCT FROM hosts.source""",
+      SELECT r, doc_id, source, n_words, word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words FROM m),
+    x AS (
+      SELECT r, source, unnest([
+        {{'rule': 1, 'failed': n_words < {quality.MIN_WORDS}}},
+        {{'rule': 2, 'failed': 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words}},
+        {{'rule': 3, 'failed': 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * n_words}},
+        {{'rule': 4, 'failed': 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines}},
+        {{'rule': 5, 'failed': word_chars < {quality.MIN_MEAN_WORD} * n_words OR word_chars > {quality.MAX_MEAN_WORD} * n_words}}], recursive := true)
+      FROM b),
+    s AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS f FROM x GROUP BY source, rule),
+    p AS (SELECT rule, avg(f / n) AS mean, coalesce(var_pop(f / n), 0) AS v, avg(1.0 / n) AS inv, avg(n) AS size FROM s GROUP BY rule),
+    q AS (SELECT rule, mean, size, (v - mean * (1 - mean) * inv) / greatest(1 - inv, 1e-9) AS excess FROM p),
+    k AS (SELECT rule, mean, CASE WHEN excess > 0 THEN greatest(1.0, mean * (1 - mean) / excess - 1) ELSE size END AS strength FROM q),
+    hosts AS (SELECT source, max((f + mean * strength) / (n + strength)) AS rate, max(f) AS most_failed FROM s JOIN k USING (rule) GROUP BY source),
+    j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+    SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+      NOT j.base_failed AND NOT hosts.rate > {quality.MAX_HOST_RATE} AS kept,
+      round(hosts.rate, 6) AS host_rate, CAST(hosts.most_failed AS BIGINT) AS host_most_failed, hosts.rate > {quality.MAX_HOST_RATE} AS host_rejected
+    FROM j JOIN hosts ON j.source IS NOT DISTINCT FROM hosts.source""",
 )
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base measures of every document and the verdict on it and its host."""
+    """Base measures of every document and the verdict on it and its host: the largest of the host's shrunk failure rates, over all rules, and of its failures."""
     judged = quality.host_quality(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    most_failed = F.greatest(*[F.col(f"host_failed.{rule}") for rule in quality.RULES]).cast("long")
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, F.round("shrunk_rate", 6).alias("host_rate"), most_failed.alias("host_most_failed"), "host_rejected")
 
 
 @REGISTRY.add(

@@ -27,8 +27,8 @@ GRAMS, BUCKETS, MIN_TEXTS = (3, 4, 5), 1 << 14, 4
 #: The training sample: labelled rows of each class at most.
 SAMPLE = 800
 EPOCHS, BATCH, RATE = 6, 24, 0.01
-#: Small samples are gone over more often, up to so many steps.
-LEAST_STEPS = 150
+#: Small samples are gone over more often, up to so many steps, and so many windows in all.
+LEAST_STEPS, MOST_WINDOWS = 150, 100_000
 SEED = 5
 _REMEMBERED, _WINDOWS = 300_000, 2048
 #: Gradients under this are zero in all that follows from them in single precision.
@@ -225,7 +225,8 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     rng, step = np.random.default_rng(seed), 0
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))):
+    n_windows = sum(len(windows(len(words))) for words in split)
+    for _ in range(max(epochs, min(-(-LEAST_STEPS * BATCH // len(texts)), MOST_WINDOWS // n_windows))):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             chosen = order[i : i + BATCH]
@@ -234,7 +235,9 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
             x, (row, bucket, counts, first_gram) = net.inputs(["pad", *names])
             x[0] = 0
             gates = net.projected(x)
-            logit = np.concatenate([net.forward(gates, at, _real(at))[0] for at in _chunks(laid)])
+            kept: list | None = [] if len(laid) <= _WINDOWS else None
+            passed = [net.forward(gates, at, _real(at), kept) for at in _chunks(laid)] if kept is not None else []
+            logit = passed[0][0] if passed else np.concatenate([net.forward(gates, at, _real(at))[0] for at in _chunks(laid)])
             d_logit, sums = np.zeros_like(logit), np.zeros(len(chosen), _F)
             for k in range(len(chosen)):
                 own = owner == k
@@ -243,7 +246,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
                 sums[k] = (share * logit[own]).sum()
                 error = 1 / (1 + np.exp(-np.clip(sums[k], -30, 30))) - target[chosen[k]]
                 d_logit[own] = error / len(chosen) * share * (1 + logit[own] - sums[k])
-            grad = net.gradient(d_logit.astype(_F), gates, laid)
+            grad = net.backward(d_logit.astype(_F), gates.shape, laid, kept, *passed[0][1:]) if passed else net.gradient(d_logit.astype(_F), gates, laid)
             d_gates = grad.pop("gates")
             grad["b"] = d_gates.sum(axis=1, keepdims=True)
             grad["w"] = np.swapaxes(np.broadcast_to(x, (2, *x.shape)), 1, 2) @ d_gates

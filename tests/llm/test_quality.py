@@ -58,4 +58,31 @@ def test_hosts_are_shrunk_and_joined_back(spark):
     strength = max(1.0, m * (1 - m) / excess - 1) if excess > 0 else sum(map(len, by_host.values())) / len(by_host)
     for s, x in by_host.items():
         d = next(i for i, _, h in rows if h == s)
-        assert judged[d].shrunk_rate == pytest.approx((sum(x) + m * strength) / (len(x) + strength))
+        assert judged[d].host_shrunk.few_words == pytest.approx((sum(x) + m * strength) / (len(x) + strength))
+
+
+GOOD = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+#: A text that fails one rule and no other.
+BAD = {
+    "few_words": "only three words",
+    "repeats": " ".join(["a1 b2 c3 d4 e5"] * 4),
+    "symbols": GOOD + " ### ***",
+    "dup_lines": "\n".join([GOOD, "same", "same", "same"]),
+    "word_length": " ".join("x" * 20 + str(i) for i in range(20)),
+}
+
+
+def test_rules(spark):
+    docs = spark.createDataFrame([(r, t) for r, t in BAD.items()] + [("none", GOOD)], "doc_id string, text string")
+    failed = {r.doc_id: [rule for rule in quality.RULES if r.failed[rule]] for r in quality.measure(docs, "doc_id").collect()}
+    assert failed == {r: [r] for r in BAD} | {"none": []}
+
+
+@pytest.mark.parametrize("rule", quality.RULES)
+def test_each_rule_turns_a_host_down(spark, rule):
+    """Nearly all of a host's documents fail one rule; its clean ones go with it. Elsewhere few do, and none goes but for its own sake."""
+    rows = [(i, BAD[rule] if i % 12 == 0 else GOOD, f"host{i % 10}") for i in range(600)] + [(1000 + i, GOOD if i < 5 else BAD[rule], "bad") for i in range(60)]
+    judged = quality.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    base = {i for i, t, _ in rows if slow_measures(t)[-1]}
+    assert {r.doc_id for r in judged if not r.kept} == base | {i for i, _, s in rows if s == "bad"}
+    assert {r.source for r in judged if r.host_rejected} == {"bad"} and all(r.host_failed[rule] == 55 for r in judged if r.source == "bad")

@@ -1,0 +1,152 @@
+"""The registered queries themselves: those with SQL against DuckDB, the others against brute force, on the smallest tables and on odd rows."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import toxicity
+from quern.llm.queries import REGISTRY
+from quern.session import table
+from tests.conftest import DATA
+from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_tokens import expected
+from tests.llm.test_vptree import brute
+from tests.test_queries import TABLES, plain
+
+SF = f"{DATA}/sf0.001"
+
+
+def hosts(spark):
+    """Documents of which one host is turned down."""
+    return spark.sql("SELECT id AS doc_id, if(id % 7 < 2, 'too few words', concat('one two three four five six seven eight nine ten ', id)) AS text, 'en' AS lang, concat('s', id % 7) AS source, 9L AS n_chars FROM range(700)")
+
+
+@pytest.fixture(scope="module", params=["documents", "odd", "hosts", "empty"])
+def folder(request, spark, tmp_path_factory, odd_docs, no_docs):
+    """A folder of tables: the supplied ones; odd documents, pages and vectors; a bad host; empty tables."""
+    if request.param == "documents":
+        return SF
+    path = tmp_path_factory.mktemp(request.param)
+    docs = {"odd": odd_docs, "hosts": hosts(spark), "empty": no_docs}[request.param]
+    docs = docs.withColumn("text", F.expr("if(length(text) > 9000, left(text, 9000), text)"))  # DuckDB's text of op8 is quadratic in a text's words
+    docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
+    none = request.param == "empty"
+    pages = docs.selectExpr("doc_id AS page_id", "source AS url", "text AS html").unionByName(docs.selectExpr("doc_id + 100 AS page_id", "'u' AS url", "text AS html"))
+    pages.write.parquet(f"{path}/pages.parquet")
+    docs.selectExpr("doc_id", "int(doc_id % 2) AS quality", "int(doc_id % 2) AS toxic").write.parquet(f"{path}/labels.parquet")
+    vectors = "SELECT id * 4 AS vec_id, array(float(id % 5), float(id % 3), if(id = 7, float('nan'), 1.0F)) AS embedding, 0 AS label FROM range(40)"
+    spark.sql(vectors).limit(0 if none else 40).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def rows(spark, name, folder):
+    return REGISTRY.queries[name](spark, folder)
+
+
+def documents(spark, folder):
+    return table(spark, folder, "documents").collect()
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY.oracles))
+def test_sql(spark, folder, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    if folder != SF:
+        for t in ("documents", "pages", "labels", "embeddings"):
+            con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    ours, theirs = rows(spark, name, folder).toPandas(), con.execute(REGISTRY.oracles[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert plain(ours) == plain(theirs)
+
+
+def test_a_bad_host(spark, tmp_path):
+    hosts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = rows(spark, "op8_host_quality", str(tmp_path)).groupBy("host_rejected").agg(F.count_if("kept").alias("kept")).collect()
+    assert {r.host_rejected: r.kept for r in kept} == {True: 0, False: 500}
+
+
+def test_op2(spark, folder):
+    got = [tuple(r)[:4] for r in rows(spark, "op2_token_codes", folder).orderBy("start").collect()]
+    assert [g[0] for g in got] == sorted((d.doc_id for d in documents(spark, folder)), key=lambda i: (i is not None, i or 0))
+    at, want = 0, sorted((str(d.doc_id), len(expected(d.text)), zlib.crc32(np.array(expected(d.text), dtype="<u4").tobytes())) for d in documents(spark, folder))
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    assert sorted((str(i), n, c) for i, _, n, c in got) == want
+
+
+def test_op3(spark, folder):
+    docs = documents(spark, folder)
+    net = toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    logits = toxicity.Scorer(net).logits([d.text for d in docs])
+    held = lambda doc_id: zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
+    want = sorted((str(d.doc_id), held(d.doc_id), 1 / (1 + np.exp(-np.clip(v, -30, 30)))) for d, v in zip(docs, logits))
+    got = sorted((str(r.doc_id), r.held_out, r.score, r.predicted) for r in rows(spark, "op3_toxicity", folder).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-3)
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, _, s, p in got)
+
+
+def test_op5(spark, folder):
+    data = [r for r in table(spark, folder, "embeddings").collect() if all(np.isfinite(r.embedding)) and any(r.embedding)]
+    got = sorted(map(tuple, rows(spark, "op5_vantage_trees", folder).select("query_id", "rank", "vec_id", "score").collect()))
+    if not data:
+        assert got == []
+        return
+    x, ids = np.array([r.embedding for r in data], dtype=np.float32), np.array([r.vec_id for r in data])
+    want = brute(ids, x, 20, [i for i in range(len(ids)) if ids[i] % 20 == 0])
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    kth = {(q, r): s for q, r, _, s in want}
+    assert np.mean([s >= kth[q, 20] for q, _, _, s in got]) >= 0.9
+    assert all(s == pytest.approx(float(x[ids == q][0].astype(float) @ x[ids == v][0].astype(float)), abs=1e-12) for q, _, v, s in got)
+
+
+def test_op6(spark, folder):
+    """The texts themselves are held against brute force in test_pii; here the query's rows and what it leaves alone."""
+    got = sorted((str(r.doc_id), r.text or "", r.n_replaced) for r in rows(spark, "op6_surrogates", folder).collect())
+    docs = sorted((str(d.doc_id), d.text or "") for d in documents(spark, folder))
+    assert [g[0] for g in got] == [d[0] for d in docs]
+    assert sorted(g[1] for g in got if not g[2]) == sorted(d[1] for d in docs if d[1] in {g[1] for g in got})
+    if folder == SF:
+        assert 5 < sum(g[2] > 0 for g in got) < len(got) / 2
+
+
+def test_op7(spark, folder):
+    docs = documents(spark, folder)
+    prints = [slow_fingerprint(d.text) for d in docs]
+    root = slow_components(prints, 2)
+    least = {}
+    for d, r in zip(docs, root):
+        if d.doc_id is not None:
+            least[r] = min(least.get(r, d.doc_id), d.doc_id)
+    want = sorted((str(d.doc_id), f"{p:016x}", str(least.get(r))) for d, p, r in zip(docs, prints, root))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in rows(spark, "op7_simhash", folder).collect()) == want
+
+
+def test_op9(spark, folder):
+    got = rows(spark, "op9_packing", folder).collect()
+    docs = documents(spark, folder)
+    assert sum(r.length for r in got) == sum(len(expected(d.text)) for d in docs)
+    used = {}
+    for r in got:
+        assert 0 < r.length <= r.doc_tokens and r.start + r.length <= r.doc_tokens
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 1024 or at & (at - 1) == 0
+    if folder == SF:
+        ids = {d.doc_id: np.array(expected(d.text), dtype="<u4") for d in docs}
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
+
+
+def test_every_query_is_here():
+    tested = {n for n in globals() if n.startswith("test_op")}
+    assert {n for n in REGISTRY.queries if n not in REGISTRY.oracles} == {n for n in REGISTRY.queries if f"test_{n.split('_')[0]}" in tested}
+    assert len(REGISTRY.queries) == 10
