@@ -28,19 +28,24 @@ def rows_up_to(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
+def salt(salts: int) -> Column:
+    """A number below ``salts`` by a row's place in its table: equal rows get different ones."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, salts: int = 32, bound: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
     """Equi-join on a null-safe ``key`` that survives hot keys.
 
     ``small`` (already written, one row per key) is broadcast after counting no more than ``bound`` rows in it. Beyond
-    that each of its rows is repeated once per salt, so that a hot key's rows on the big side are dealt over ``salts`` tasks.
+    that each of its rows is repeated once per salt, so that a hot key's rows on the big side are dealt over ``salts`` tasks. Salts go by a row's place in its
+    table, so equal rows are dealt too; ``big`` is to be read from a table, where a repeated task finds each row at the same place.
     """
     right = small.withColumnRenamed(key, "_right_key")
     if rows_up_to(small, bound) <= bound:
         joined = big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_right_key")), how)
         return joined.drop("_right_key")
     right = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    plain = [F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]  # maps have no hash
-    left = big.withColumn("_left_salt", F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(salts)).cast("int"))
+    left = big.withColumn("_left_salt", salt(salts))
     on = F.col(key).eqNullSafe(F.col("_right_key")) & (F.col("_left_salt") == F.col("_right_salt"))
     return left.join(right, on, how).drop("_right_key", "_right_salt", "_left_salt")
 

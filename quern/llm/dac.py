@@ -132,7 +132,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, file_ids:
 
     Returns the manifest: file, part, n_docs, n_ids (a row per file). Documents are dealt by ranges of doc_id and then of the text's
     hash, so that one id with many rows is split too; null ids come first, repeated rows stay. Null texts are empty (the end id
-    only). No documents: no files. A task encodes and writes its range; if it is repeated, it replaces its files by equal ones.
+    only). Very long texts are encoded in parts. Only doc_id and text are read, so other columns cannot clash. No documents: no files. A task encodes and writes its range; if it is repeated, it replaces its files by equal ones.
     """
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h").asc()]

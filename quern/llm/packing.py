@@ -119,7 +119,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, w
     """Packs all documents. Returns a row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, 32-bit
     little-endian; left out without ``with_ids``), ids_crc32 (of these bytes, unsigned).
 
-    Null texts are empty: the end id alone is packed. Null and repeated doc_ids are packed row by row. No documents: no pieces. Memory: ``windows``
+    Null texts are empty: the end id alone is packed. Null and repeated doc_ids are packed row by row; of windows that fit a piece equally well the one opened first
+    takes it. Very long texts are encoded in parts. Only doc_id and text are read, so other columns cannot clash. No documents: no pieces. Memory: ``windows``
     open windows and one document per task; rests are under one window a partition, merged ``FAN_IN`` to a task. Each round is written
     to the shared folder.
     """

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import salt
+
 #: Prime; a hundred slots a shard keep shares within about one per cent of each other.
 TABLE_SIZE = 6553
 N_SHARDS = 64
@@ -56,8 +58,8 @@ def table_frame(spark: SparkSession, shards: Sequence[str], size: int = TABLE_SI
 def assign(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
     """Every row as ``row``, with ``slot`` and ``shard`` (the shard's index).
 
-    Equal keys share a shard; null keys are placed like the empty text; an empty table stays empty; names of the input cannot
-    clash, as its columns stay inside ``row``. Placing is a lookup in a broadcast table of exactly ``size`` rows, without a shuffle,
+    Equal keys share a shard, whatever their length, and repeated rows with them; null keys are placed like the empty text; an empty table stays empty; names of
+    the input cannot clash, as its columns stay inside ``row``. Placing is a lookup in a broadcast table of exactly ``size`` rows, without a shuffle,
     so hot keys cost nothing here.
     """
     placed = df.select(F.struct("*").alias("row"), slot_of(*[F.col(k) for k in keys], size=size).alias("slot"))
@@ -66,11 +68,10 @@ def assign(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int
 
 
 def write_shards(assigned: DataFrame, path: str, files_per_shard: int = 8) -> None:
-    """Writes folders shard=0, 1, ...; a shard's rows are dealt over ``files_per_shard`` tasks, so that a hot shard
-    fills no task. Rows with a column named shard are refused, as folders could not tell it apart."""
+    """Writes folders shard=0, 1, ...; a shard's rows are dealt over ``files_per_shard`` tasks by their place in the table, so that a hot shard
+    fills no task, even of equal rows. Rows with a column named shard are refused, as folders could not tell it apart. No rows: no folders."""
     inner = [f.name for f in assigned.schema["row"].dataType.fields]
-    plain = [F.col(f"row.`{f.name}`") for f in assigned.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
     if "shard" in inner:
         raise ValueError("the rows have a column named shard already")
-    rows = assigned.select("row.*", "shard", F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(files_per_shard)).alias("_deal"))
+    rows = assigned.select("row.*", "shard", salt(files_per_shard).alias("_deal"))
     rows.repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)

@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Every row's doc_id, text_hash, fp, root (its component's least fingerprint) and component_id: the smallest doc_id reachable over
     links, its own row's included.
 
-    Null texts count as empty; texts without words have fingerprint zero and are linked like others. Null doc_ids are never the
+    Null texts count as empty; texts without words have fingerprint zero and are linked like others; very long ones are read in parts. Only doc_id and text are
+    read, so other columns cannot clash. Null doc_ids are never the
     smallest, unless a component has no other (then component_id is null). Repeated rows share a class. An empty table gives none. Rows are shuffled as
     fingerprints only; classes are found before any comparison, so that copies cost one row each.
     """

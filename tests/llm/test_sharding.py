@@ -54,3 +54,24 @@ def test_every_row_is_placed(spark, odd_docs, no_docs, tmp_path):
     docs = odd_docs.select("doc_id", "text")
     sharding.write_shards(sharding.assign(docs, ["doc_id"], ["x", "y", "z"], 101), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_equal_rows_get_all_salts(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import join_small, salt, written
+
+    equal = written(spark.range(10_000).select(F.lit("hot").alias("key"), F.lit(1).alias("v")), "equal")
+    per_salt = [r["count"] for r in equal.groupBy(salt(32).alias("s")).count().collect()]
+    assert len(per_salt) == 32 and max(per_salt) < 2 * min(per_salt)
+    small = written(spark.createDataFrame([("hot", 5)], "key string, w int"), "small")
+    assert join_small(equal, small, "key", bound=0).filter("w = 5").count() == 10_000
+
+
+def test_equal_rows_fill_all_files(spark, tmp_path):
+    rows = spark.range(8000).selectExpr("1L AS doc_id", "map('a', 1) AS m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sharding.write_shards(sharding.assign(rows, ["doc_id"], ["one", "two"], 7), str(tmp_path / "out"), 16)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("input_file_name() AS f").groupBy("f").count().collect()]
+    assert len(sizes) >= 3 and sum(sizes) == 8000 and max(sizes) < 6000
