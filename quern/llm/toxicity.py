@@ -16,9 +16,10 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.common import written
+
 WORD = re.compile(r"\w+")
 #: Words to a window, and between the starts of two windows.
 LENGTH, STRIDE = 48, 36
@@ -365,15 +366,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """A net trained on the driver on at most ``sample`` labelled rows of each class, none of them held out.
 
-    Twice as many ids of each class are picked from the labels alone, by a hash of the id, in one pass; their texts are looked up whole, however long they
+    Twice as many ids of each class are picked from the labels alone, those of the least hashes of the id: only ids under a bound on the hash, by the class's
+    count, are looked at, so no task and not the driver sees more of a class than a few times ``sample``. Their texts are looked up whole, however long they
     are (a broadcast of four times ``sample`` ids at most, and no shuffle of texts), and the first ``sample`` of each class by the hash go in, as
     texts only. An id that is labelled both ways counts as toxic; of an id with several texts the least counts. Rows without label or text are no training rows.
     """
     open_ = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     open_ = open_.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    open_ = open_.withColumn("pick", F.xxhash64("doc_id", F.lit(SEED)))
-    place = F.row_number().over(W.partitionBy("toxic").orderBy("pick", "doc_id"))  # Spark cuts to the first rows before the shuffle too
-    picked = open_.withColumn("_n", place).filter(F.col("_n") <= 2 * sample).select("doc_id", "toxic", "pick").collect()
+    open_ = written(open_.withColumn("pick", F.xxhash64("doc_id", F.lit(SEED))), "labelled")
+    below = F.lit(False)
+    for r in open_.groupBy("toxic").agg(F.count("*").alias("n")).collect():
+        bound = F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * sample // r.n))  # about four times ``sample`` hashes lie below: twice what is looked for
+        below |= (F.col("toxic") == r.toxic) & (F.col("pick") <= bound)
+    drawn = sorted(open_.filter(below).collect(), key=lambda r: (r.pick, r.doc_id))
+    picked = [r for label in (0, 1) for r in [r for r in drawn if r.toxic == label][: 2 * sample]]
     if not picked:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, pick long")
