@@ -7,15 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list[str], slice_of: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list[str], slice_of: Column | None | str = "day") -> DataFrame:
     """Each left row with the ``columns`` of the right row of its key that is last at or before it; null where there is none.
 
     Both sides go through one shuffle and one sort by (key, time), with no join and no row made twice: a window carries the last right row on. Among
     right rows of one time the largest ``columns`` win. Null times on the left match nothing, null keys match null keys.
 
-    A key with very many rows can be cut into slices of time: ``slice_of`` turns the time column into a slice; then each slice is one window, and the last
-    right row of every slice (one row each) is carried into the slices after it.
+    A key with very many rows is cut into slices of time: ``slice_of`` turns the time column ``_at`` into a slice (days, by default, if it is a time); each slice
+    is one window, and the last right row of every slice (one row each) is carried into the slices after it. None: a key's rows are one window, which saves
+    a join where no key has many rows.
     """
+    if isinstance(slice_of, str):
+        kind = left.schema[at].dataType.typeName()
+        slice_of = F.date_trunc(slice_of, "_at") if kind.startswith("timestamp") or kind == "date" else None
     packed = F.struct(*[F.col(c) for c in columns])
     kind = right.select(packed.alias("x")).schema[0].dataType
     keys = [F.col(by).alias("_by"), F.col(at).alias("_at")]
@@ -52,7 +56,10 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Inner equi-join that deals each key's big-side rows over ``salts`` tasks; the small side is repeated once per salt."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]), F.lit(salts)))
+    """Inner equi-join that deals each key's big-side rows over ``salts`` tasks; the small side is repeated once per salt.
+
+    Salts go by a row's place in its table, so equal rows are dealt too; ``big`` is to be read from a table, where a repeated task finds each row at the same place.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [key, "_salt"]).drop("_salt")

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from quern.operators import joins, ranking
 from quern.plans.registry import Registry
-from quern.session import table
+from quern.session import shared_dir, table
+from quern.sources import files
 
 REGISTRY = Registry()
+#: Parts of a group that a user-defined aggregate sees one at a time.
+LOTS = 64
 
 
 def define(name: str, sql: str, oracle: str | None = None) -> None:
@@ -60,6 +63,13 @@ define(
 )
 define("join_semi", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 define("join_anti", "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+define("join_anti_priced", "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+for kind, hint in (("merge", "MERGE(orders)"), ("shuffle_hash", "SHUFFLE_HASH(customer)"), ("broadcast", "BROADCAST(customer)")):
+    define(
+        f"join_{kind}",
+        f"""SELECT /*+ {hint} */ c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM {{orders}} AS orders JOIN {{customer}} AS customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+        "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    )
 define(
     "join_theta",
     """SELECT a.r_name AS one, b.r_name AS other FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey""",
@@ -77,6 +87,7 @@ for kind, clause in (("rollup", "ROLLUP (l_returnflag, l_linestatus)"), ("cube",
         CAST(sum(l_quantity) AS BIGINT) AS qty, CAST(count(*) AS BIGINT) AS n FROM {{lineitem}} GROUP BY {clause}""",
     )
 define("aggregate_filtered", "SELECT user_id, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS high, round(max(value), 6) AS top FROM {events} GROUP BY user_id HAVING count(*) > 1")
+define("aggregate_sorted", "SELECT c_nationkey, max(c_name) AS last, min(c_mktsegment) AS first FROM {customer} GROUP BY c_nationkey")
 define("aggregate_median", "SELECT event_type, round(percentile(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS sd FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS sd FROM events GROUP BY event_type")
 define(
     "window_ranking",
@@ -96,6 +107,7 @@ define(
 define("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 define("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 define("set_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
+define("set_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 define("set_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
 define("set_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal < 0")
 define("set_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
@@ -127,8 +139,8 @@ define(
 )
 define(
     "scalar_regexp",
-    r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[aeiou]+', '_') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name, CAST(regexp_count(text, '[0-9]+') AS BIGINT) AS numbers FROM {documents}""",
-    r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers FROM documents""",
+    r"""SELECT doc_id, regexp_replace(text, '[aeiou]+', '_') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name, CAST(regexp_count(text, '[0-9]+') AS BIGINT) AS numbers FROM {documents}""",
+    r"""SELECT doc_id, regexp_replace(text, '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers FROM documents""",
 )
 define(
     "scalar_date",
@@ -196,7 +208,7 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("value_before"))
-    return joins.asof_join(clicks, views, "user_id", "ts", ["value_before"]).select("event_id", "user_id", "value_before")
+    return joins.asof_join(clicks, views, "user_id", "ts", ["value_before"], slice_of=None).select("event_id", "user_id", "value_before")
 
 
 @REGISTRY.add("join_asof_sliced", """SELECT e.event_id, e.user_id, v.value AS value_before FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') e
@@ -206,8 +218,7 @@ def join_asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("value_before"))
-    day = F.to_date("_at")
-    return joins.asof_join(clicks, views, "user_id", "ts", ["value_before"], slice_of=day).select("event_id", "user_id", "value_before")
+    return joins.asof_join(clicks, views, "user_id", "ts", ["value_before"]).select("event_id", "user_id", "value_before")
 
 
 @REGISTRY.add("join_range", """SELECT p.p_partkey, s.s_suppkey FROM part p JOIN (SELECT s_suppkey, abs(s_acctbal) AS lo, abs(s_acctbal) + 50 AS hi FROM supplier) s
@@ -250,25 +261,67 @@ def udf_vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(fahrenheit("value"), 6).alias("fahrenheit"))
 
 
+@REGISTRY.add(
+    "approximate_within_bounds",
+    """SELECT event_type, true AS users_near, true AS p90_near FROM events GROUP BY event_type""",
+)
+def approximate_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: whether sketches are as near to the exact figures as they promise: distinct users within 3 standard errors of 5 %, the percentile's rank within 0.001."""
+    events = table(spark, sf_dir, "events")
+    counts = events.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.05).alias("users"), F.percentile_approx("value", 0.9, 10_000).alias("p90"), F.count_distinct("user_id").alias("exact"), F.count("value").alias("n")
+    )
+    below = events.join(F.broadcast(counts.select("event_type", "p90")), "event_type").groupBy("event_type")  # a row a type
+    ranks = below.agg(F.count_if(F.col("value") < F.col("p90")).alias("low"), F.count_if(F.col("value") <= F.col("p90")).alias("high"))
+    near = (F.col("low") <= F.col("n") * 0.901 + 1) & (F.col("high") >= F.col("n") * 0.899 - 1)
+    users = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.15 * F.col("exact"))
+    return counts.join(ranks, "event_type").select("event_type", users.alias("users_near"), near.alias("p90_near"))
+
+
 @REGISTRY.add("udaf_grouped", "SELECT event_type, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY event_type")
 def udaf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track B: a user-defined aggregate. Its sums are made natively and it sees one row a group, so a hot group fits in memory."""
+    """Track B: a user-defined aggregate. It sums up lots of a group, dealt by an event's id, and their sums are added up natively, so a hot group fills no task."""
+
     @F.pandas_udf("double")
-    def root(x: pd.Series) -> pd.Series:
-        return np.sqrt(x)
+    def sum_of_squares(x: pd.Series) -> float:
+        return float(np.square(x).sum())
 
-    means = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(F.col("value") * F.col("value")).alias("m"))
-    return means.select("event_type", F.round(root("m"), 6).alias("rms"))
+    lots = table(spark, sf_dir, "events").groupBy("event_type", F.pmod(F.xxhash64("event_id"), F.lit(LOTS)).alias("lot"))
+    sums = lots.agg(sum_of_squares("value").alias("squares"))
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"))
+    means = sums.groupBy("event_type").agg(F.sum("squares").alias("squares")).join(counts, "event_type")
+    return means.select("event_type", F.round(F.sqrt(F.col("squares") / F.col("n")), 6).alias("rms"))
 
 
-@REGISTRY.add("udtf_pieces", "SELECT item_id, CAST(i AS INT) AS place, list_slice(string_split(text, ' '), CAST(i AS INT), CAST(i AS INT))[1] AS word FROM benchmark, LATERAL (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(string_split(text, ' '))")
+@REGISTRY.add("udtf_pieces", "SELECT item_id, CAST(unnest(range(1, len(words) + 1)) AS INT) AS place, unnest(words) AS word FROM (SELECT item_id, string_split(text, ' ') AS words FROM benchmark WHERE text IS NOT NULL)")
 def udtf_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track B: a user-defined table function, joined laterally."""
+    """Track B: a user-defined table function, joined laterally: every word of a text with its place. Null texts give no rows."""
 
     class Pieces:
         def eval(self, text: str):
-            for i, word in enumerate(text.split(" ")[:3], 1):
-                yield i, word
+            if text is not None:
+                yield from enumerate(text.split(" "), 1)
 
-    spark.udtf.register("quern_pieces", F.udtf(Pieces, returnType="place int, word string"))
+    spark.udtf.register("quern_pieces", F.udtf(Pieces, returnType="place int, word string", useArrow=True))
     return spark.sql("SELECT b.item_id, p.place, p.word FROM {benchmark} b, LATERAL quern_pieces(b.text) p", benchmark=table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.add("files_round_trip", " UNION ALL ".join(f"SELECT '{kind}' AS kind, n_nationkey, n_name, n_regionkey FROM nation" for kind in ("parquet", "orc", "json", "csv")))
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: a table written to and read from each file format."""
+    nation, out = table(spark, sf_dir, "nation"), None
+    for kind in ("parquet", "orc", "json", "csv"):
+        path = shared_dir(spark, kind)
+        files.write(nation, kind, path)
+        back = files.read(spark, kind, path, schema=nation.schema).select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@REGISTRY.add("join_bucketed", "SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: two tables bucketed by their key once, then joined without a shuffle."""
+    lines = files.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), shared_dir(spark, "bucketed"), "l_orderkey", 8)
+    heads = files.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), shared_dir(spark, "bucketed"), "o_orderkey", 8)
+    joined = lines.join(heads.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -26,6 +28,8 @@ def write(df: DataFrame, kind: str, path: str, mode: str = "errorifexists", by:
     df.write.format(kind).mode(mode).options(**({"header": "true"} if kind == "csv" else {}) | options).partitionBy(*(by or [])).save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """A table whose rows lie bucketed and sorted by a key, so that joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """A table whose rows lie bucketed and sorted by a key, so that joins on it need no shuffle. It lies at ``path``, under the folder's name."""
+    name = "bucketed_" + re.sub(r"\W", "_", path.rstrip("/").rpartition("/")[2])
+    df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
