@@ -60,8 +60,8 @@ def hot_groups(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     )
 
 
-def outline(spark: SparkSession) -> DataFrame:
-    """Numbered placeholder rows of a proposal and of the writing guidance, marked as drafts."""
+def outline(spark: SparkSession, gap: str | None = None, point: str | None = None) -> DataFrame:
+    """Numbered placeholder rows of a proposal and of the writing guidance, marked as drafts, with the research gap and innovation point that were chosen."""
 
     def rows(kind: str, word: str, n: int) -> DataFrame:
         return spark.range(1, n + 1).select(
@@ -69,6 +69,18 @@ def outline(spark: SparkSession) -> DataFrame:
             F.col("id").cast("int").alias("number"),
             F.concat(F.lit(f"{word} "), F.col("id").cast("string")).alias("title"),
             F.lit("draft, pending full-text review").alias("status"),
+            F.lit(gap).cast("string").alias("gap"),
+            F.lit(point).cast("string").alias("point"),
         )
 
     return rows("proposal", "part", PARTS).unionByName(rows("guidance", "stage", STAGES))
+
+
+def directions_under(directions: DataFrame, root: str) -> DataFrame:
+    """direction_id, name and depth of a direction and all below it. ``directions``: direction_id, parent_id, name; a tree, however deep."""
+    spark = directions.sparkSession
+    sql = """WITH RECURSIVE t(direction_id, name, depth) AS (
+      SELECT direction_id, name, 0 FROM {directions} WHERE name = :root
+      UNION ALL SELECT d.direction_id, d.name, t.depth + 1 FROM {directions} d JOIN t ON d.parent_id = t.direction_id)
+    SELECT direction_id, name, depth FROM t"""
+    return spark.sql(sql, args={"root": root}, directions=directions)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quern.functions import text as topics
 from quern.operators import evidence
 from quern.plans.registry import Registry
-from quern.session import table
+from quern.session import shared_dir, table
+from quern.sources import papers
 
 REGISTRY = Registry()
 
@@ -88,6 +89,71 @@ def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.outline(spark).select("kind", "number", "title")
 
 
+GAP, POINT = "gap 2", "point 3"
+
+
+@REGISTRY.add(
+    "outline_for_choice",
+    f"""SELECT 'proposal' AS kind, CAST(i AS INTEGER) AS number, 'part ' || i AS title, '{GAP}' AS gap, '{POINT}' AS point FROM range(1, 12) t(i)
+    UNION ALL SELECT 'guidance', CAST(i AS INTEGER), 'stage ' || i, '{GAP}', '{POINT}' FROM range(1, 8) t(i)""",
+)
+def outline_for_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B11 to B13: the outline for the gap and the point that the user chose."""
+    return evidence.outline(spark, GAP, POINT).select("kind", "number", "title", "gap", "point")
+
+
+#: A declared tree of directions (id, parent, name): the data of the knowledge base is not supplied, so the sources stand for sub-directions.
+DIRECTIONS = [(1, None, "all"), (2, 1, "systems"), (3, 1, "management"), (4, 2, "adoption"), (5, 4, "src0"), (6, 4, "src3"), (7, 3, "src7"), (8, 2, "src9")]
+#: Declared rules (B2): the least characters and the languages that a direction's evidence needs.
+EVIDENCE_RULES = [("systems", 200, "en"), ("systems", 400, "de"), ("management", 100, "en")]
+
+
+@REGISTRY.add(
+    "docs_under_direction",
+    f"""WITH RECURSIVE d(id, parent, name) AS (VALUES {', '.join(f"({i}, {'NULL' if p is None else p}, '{n}')" for i, p, n in DIRECTIONS)}),
+    t(id, name, depth) AS (SELECT id, name, 0 FROM d WHERE name = 'systems' UNION ALL SELECT d.id, d.name, depth + 1 FROM d JOIN t ON d.parent = t.id)
+    SELECT doc_id, source, depth FROM documents JOIN t ON source = name""",
+)
+def docs_under_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1, B3: documents of a broad direction and of all directions below it."""
+    tree = evidence.directions_under(spark.createDataFrame(DIRECTIONS, "direction_id int, parent_id int, name string"), "systems")
+    return table(spark, sf_dir, "documents").join(F.broadcast(tree), F.col("source") == F.col("name")).select("doc_id", "source", "depth")
+
+
+@REGISTRY.add(
+    "docs_by_rules",
+    f"""WITH RECURSIVE d(id, parent, name) AS (VALUES {', '.join(f"({i}, {'NULL' if p is None else p}, '{n}')" for i, p, n in DIRECTIONS)}),
+    r(root, least, lang) AS (VALUES {', '.join(map(str, EVIDENCE_RULES))}),
+    t(root, id, name) AS (SELECT name, id, name FROM d WHERE name IN ('systems', 'management') UNION ALL SELECT t.root, d.id, d.name FROM d JOIN t ON d.parent = t.id)
+    SELECT doc_id, t.root AS direction FROM documents x JOIN t ON source = name JOIN r ON r.root = t.root AND r.lang = x.lang WHERE n_chars >= least""",
+)
+def docs_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: documents that meet the rules declared for their direction."""
+    declared = spark.createDataFrame(DIRECTIONS, "direction_id int, parent_id int, name string")
+    rules = F.broadcast(spark.createDataFrame(EVIDENCE_RULES, "direction string, least int, rule_lang string"))
+    trees = [evidence.directions_under(declared, root).select(F.lit(root).alias("of"), "name") for root in ("systems", "management")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(F.broadcast(trees[0].unionByName(trees[1])), F.col("source") == F.col("name"))
+    met = (F.col("of") == F.col("direction")) & (F.col("lang") == F.col("rule_lang")) & (F.col("n_chars") >= F.col("least"))
+    return docs.join(rules, met).select("doc_id", "direction")
+
+
+@REGISTRY.add(
+    "works_in_whitelist",
+    f"SELECT '10.1/' || doc_id AS doi, substr(text, 1, 40) AS title, source AS journal, CAST(2000 + doc_id % 25 AS INTEGER) AS year, lang FROM documents WHERE source IN {WHITELIST}",
+)
+def works_in_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6: works landed as JSON lines (made of the documents here; a title is a text's first 40 characters), read, and kept if their journal is listed. Each landed twice; the later year counts."""
+    title, year = F.array(F.substring("text", 1, 40)), (2000 + F.col("doc_id") % 25).cast("int")
+    dated = lambda y: F.struct(F.array(F.array(y, F.lit(1))).alias("date-parts"))
+    docs, path = table(spark, sf_dir, "documents"), shared_dir(spark, "works")
+    doi = F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))
+    for at in (year, year - 1):
+        work = F.struct(doi.alias("DOI"), title.alias("title"), F.array("source").alias("container-title"), dated(at).alias("published"), F.col("lang").alias("language"))
+        docs.select(F.to_json(work).alias("value")).write.mode("append").text(path)
+    titles = spark.createDataFrame([(w,) for w in WHITELIST], "journal string")
+    return papers.read_works(spark, path).join(F.broadcast(titles), "journal", "left_semi").select("doi", "title", "journal", "year", "lang")
+
+
 @REGISTRY.add(
     "directions_bilingual",
     """SELECT source, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS n_en, CAST(count(*) FILTER (lang <> 'en') AS BIGINT) AS n_other

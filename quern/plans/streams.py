@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.registry import Registry
+from quern.session import table
 from quern.streaming import events
 
 REGISTRY = Registry()
@@ -56,6 +57,27 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("stream_running_totals", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's totals, kept as state; all has arrived in one trigger, so there is one row a user."""
-    totals = events.finished(events.running_totals(_events(spark, sf_dir)), "totals")
-    return totals.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+    """Each user's totals after the last trigger."""
+    return events.latest(events.totals(_events(spark, sf_dir)), "totals").select("user_id", "n", F.round("total", 4).alias("total"))
+
+
+@REGISTRY.add(
+    "stream_enriched",
+    "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN (SELECT c_custkey, c_mktsegment FROM customer) ON user_id = c_custkey",
+)
+def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its customer's segment: a stream joined with a table."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    joined = events.enriched(_events(spark, sf_dir), customers, "user_id", "c_mktsegment")
+    return events.finished(joined.select("event_id", "user_id", "c_mktsegment"), "enriched")
+
+
+@REGISTRY.add(
+    "stream_followed",
+    """SELECT a.event_id AS first_id, b.event_id AS second_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE
+    WHERE a.event_type = 'view' AND b.event_type = 'click'""",
+)
+def stream_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks within half an hour after a view of the same user: two streams joined."""
+    both = _events(spark, sf_dir), _events(spark, sf_dir)
+    return events.finished(events.followed(both[0].filter("event_type = 'view'"), both[1].filter("event_type = 'click'"), "30 MINUTES"), "followed")

@@ -51,14 +51,50 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """A user's events and sum of values so far, after each trigger, kept as the stream's own state."""
+def enriched(events: DataFrame, static: DataFrame, key: str, column: str) -> DataFrame:
+    """A stream joined with a table that does not move, one row a key; events without a match stay."""
+    return events.join(static.select(F.col(key).alias("_key"), column), F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def followed(first: DataFrame, second: DataFrame, within: str) -> DataFrame:
+    """Pairs of an event of one stream and a later one of the other by the same user, no further apart than ``within``: both streams' watermarks bound
+    what is kept waiting."""
+    a = first.select(F.col("event_id").alias("first_id"), "user_id", F.col("ts").alias("first_ts"))
+    b = second.select(F.col("event_id").alias("second_id"), F.col("user_id").alias("_user"), F.col("ts").alias("second_ts"))
+    near = (F.col("second_ts") > F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col("user_id") == F.col("_user")) & near).select("first_id", "second_id", "user_id")
+
+
+def totals(events: DataFrame) -> DataFrame:
+    """A user's events and sum of values so far: a built-in aggregate, kept by Spark as the stream's state and given out whole after each trigger."""
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def latest(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream's aggregate over all that has arrived; the rows after its last trigger. Each trigger's rows replace those before."""
+    spark = stream.sparkSession
+    folder = shared_dir(spark, name)
+
+    def save(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    query = stream.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def changes(events: DataFrame) -> DataFrame:
+    """event_id, user_id and whether the type is another than that of the user's event before: state of our own, an event at a time in each trigger's order of
+    time, which no built-in aggregate has."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterable[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        last = state.get[0] if state.exists else None
         for frame in frames:
-            n, total = n + len(frame), total + float(frame["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "append", "NoTimeout")
+            frame = frame.sort_values(["ts", "event_id"])
+            before = frame["event_type"].shift(1)
+            before.iloc[0] = last
+            last = frame["event_type"].iloc[-1]
+            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "changed": frame["event_type"] != before})
+        state.update((last,))
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, changed boolean", "last string", "append", "NoTimeout")

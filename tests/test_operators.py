@@ -82,3 +82,68 @@ def test_works(spark, tmp_path):
     )
     got = {r.doi: (r.title, r.journal, r.year, r.lang) for r in papers.read_works(spark, str(tmp_path / "w.json")).collect()}
     assert got == {"10.1/a": ("T2", None, 2021, None), "10.2/b": (None, None, None, None)}
+
+
+def test_rejects(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"DOI": "10.1/A"}\nnot json\n{"DOI": null, "title": ["T"]}\n')
+    got = sorted((r.line, r.reason) for r in papers.read_rejects(spark, str(tmp_path / "w.json")).collect() if r.line) + [r.reason for r in papers.read_rejects(spark, str(tmp_path / "w.json")).collect() if not r.line]
+    assert got == [("not json", "not JSON"), "no DOI"] and papers.read_works(spark, str(tmp_path / "w.json")).count() == 1
+
+
+def test_equal_rows_get_all_salts(spark, tmp_path):
+    spark.range(10_000).selectExpr("'hot' AS k", "1 AS v").write.parquet(str(tmp_path / "big"))
+    small = spark.createDataFrame([("hot", 1)], "k string, w int")
+    joined = joins.salted_join(spark.read.parquet(str(tmp_path / "big")), small, "k", 16)
+    assert joined.count() == 10_000
+    salts = spark.read.parquet(str(tmp_path / "big")).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 16 and max(r["count"] for r in salts) < 2 * min(r["count"] for r in salts)
+
+
+def test_bucketed_join_has_no_shuffle(spark):
+    from quern.plans import relational
+    from tests.conftest import DATA
+
+    lines = files.write_bucketed(spark.range(100).selectExpr("id AS k"), files_dir(spark), "k", 4)
+    heads = files.write_bucketed(spark.range(50).selectExpr("id AS k", "id AS v"), files_dir(spark), "k", 4)
+    joined = lines.join(heads.hint("merge"), "k")
+    assert joined.count() == 50 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert relational.join_bucketed(spark, f"{DATA}/sf0.001").count() > 0
+
+
+def files_dir(spark):
+    from quern.session import shared_dir
+
+    return shared_dir(spark, "bucketed")
+
+
+def test_joins_use_the_strategies_named(spark):
+    from quern.plans import relational
+    from tests.conftest import DATA
+
+    for name, node in (("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin")):
+        assert node in relational.REGISTRY.queries[f"join_{name}"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in relational.REGISTRY.queries["aggregate_sorted"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_rows(spark, tmp_path):
+    """Rows older than the watermark when they arrive are left out; rows that are late but within it count; state survives between triggers."""
+    import time
+
+    from quern.streaming import events
+
+    def land(name, hours):
+        rows = [(i, t(h), 1, "view", 1.0, None) for i, h in hours]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / name))
+        time.sleep(1.1)  # files are taken in the order of their times
+
+    land("in/1", [(1, 0.5), (2, 10)])
+    land("in/2", [(4, 9.5)])  # late, but within the watermark of 9 o'clock
+    land("in/3", [(3, 0.6), (5, 30)])  # event 3 is past the watermark, which holds from the trigger after the one that set it
+    land("in/4", [(6, 60)])
+    stream = events.read(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)
+    got = {r.window_start: (r.n, r.total) for r in events.finished(events.per_window(stream, "1 hour"), "late").collect()}
+    assert got == {t(0): (1, 1.0), t(9): (1, 1.0), t(10): (1, 1.0), t(30): (1, 1.0)}
+    stream = events.read(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)
+    assert events.latest(events.totals(stream), "late-totals").first().asDict() == {"user_id": 1, "n": 6, "total": 6.0}
+    changed = events.finished(events.changes(events.read(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)), "changes")
+    assert sorted(r.event_id for r in changed.collect()) == [1, 2, 3, 4, 5, 6] and [r.event_id for r in changed.filter("changed").collect()] == [1]
