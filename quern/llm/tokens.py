@@ -102,3 +102,10 @@ def encoder(path: str | None = None) -> Encoder:
     if path not in _made:
         _made[path] = Encoder(path)
     return _made[path]
+
+
+def forget() -> None:
+    """Gives this worker's remembered words back, for operators that need the memory for other things."""
+    for made in _made.values():
+        made.words.clear()
+        made.words.older = {}

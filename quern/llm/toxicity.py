@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import tokens
 from quern.llm.common import written
 
 WORD = re.compile(r"\w+")
@@ -31,7 +32,7 @@ EPOCHS, BATCH, RATE = 6, 24, 0.01
 #: Small samples are gone over more often, up to so many steps, and so many windows in all.
 LEAST_STEPS, MOST_WINDOWS = 150, 100_000
 SEED = 5
-_REMEMBERED, _WINDOWS = 300_000, 2048
+_REMEMBERED, _WORDS, _WINDOWS = 150_000, 100_000, 2048
 #: Gradients under this are zero in all that follows from them in single precision.
 _NOTHING = 1e-12
 _PART = 10_000 * STRIDE
@@ -350,7 +351,7 @@ class Scorer:
                 held.append(part)
                 whose.append(len(out) - 1)
                 size += len(part)
-                if size > 400_000:
+                if size > _WORDS:
                     flush()
                     size = 0
         if held:
@@ -399,6 +400,7 @@ def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the net's parameters
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         scorer = Scorer(shared.value)
         for batch in batches:
             logit = np.array(scorer.logits(t.as_py() for t in batch.column(1)), dtype=np.float64)
