@@ -33,13 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's full path (with its store's scheme) under ``spark.checkpoint.dir``; where that is unset, one of this machine
-    is set in local mode (tests), and a cluster is told to set it."""
+    is taken in local mode (tests), and a cluster is told to set it. The setting itself cannot be changed in a running session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     _made.append(re.sub("^file:/+", "file:///", full))
