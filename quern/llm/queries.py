@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dac, mixing, packing, pii, quality, sharding, simhash, toxicity, vptree, warc
+from quern.llm import dac, exact, mixing, packing, phrases, pii, quality, sharding, simhash, toxicity, vptree, warc, whitening
 from quern.llm.common import WORD
 from quern.plans.registry import Registry
 from quern.session import table
 
 REGISTRY = Registry()
 SHARDS = [f"shard-{i}" for i in range(sharding.N_SHARDS)]
+#: DuckDB's text for A-Z lowered.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @REGISTRY.add(
@@ -154,3 +156,45 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.concat(F.lit("damaged archive "), F.col("file"), F.lit(" at "), F.col("gap_start").cast("string"))
     page_id = F.when(F.col("gap_start").isNotNull(), F.raise_error(gap).cast("long")).otherwise(F.col("page_id"))
     return read.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@REGISTRY.add(
+    "op11_exact_dedup",
+    f"""WITH d AS (SELECT doc_id, {LOWERED} AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+      row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+    FROM d""",
+)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its copies."""
+    found = exact.duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@REGISTRY.add(
+    "op12_collocations",
+    rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWERED} AS t FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+    t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+    s AS (SELECT lang, words, unnest(range(1, {phrases.LONGEST + 1})) AS size FROM w),
+    i AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM s WHERE len(words) >= size),
+    f AS (SELECT lang, size, list_slice(words, i, i + size - 1) AS part, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+    k AS (SELECT lang, part, size, a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+    c AS (SELECT k.*, x.a AS l, y.a AS r, CAST(1000 * CAST(k.a AS HUGEINT) * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+      FROM k JOIN t USING (lang) JOIN f x ON x.lang = k.lang AND x.part = k.part[:k] JOIN f y ON y.lang = k.lang AND y.part = k.part[k + 1:]),
+    b AS (SELECT DISTINCT ON (lang, part) lang, part, size, a, l, r, score FROM c ORDER BY lang, part, score, k),
+    o AS (SELECT DISTINCT f.lang, list_slice(part, j, j + m - 1) AS part, a FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2) f, unnest(range(1, size - m + 2)) u(j)),
+    e AS (SELECT b.*, n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, array_to_string(b.part, ' ')) AS rank
+      FROM b JOIN t USING (lang) ANTI JOIN o ON o.lang = b.lang AND o.part = b.part AND o.a >= b.a)
+    SELECT lang, rank, array_to_string(part, ' ') AS phrase, a, l, r, n, score FROM e WHERE rank <= {phrases.TOP}""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
