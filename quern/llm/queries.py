@@ -179,7 +179,7 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
     s AS (SELECT lang, words, unnest(range(1, {phrases.LONGEST + 1})) AS size FROM w),
     i AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM s WHERE len(words) >= size),
-    f AS (SELECT lang, size, list_slice(words, i, i + size - 1) AS part, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+    f AS (SELECT lang, size, list_slice(words, i, i + size - 1) AS part, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= {phrases.LIMITS.least}),
     k AS (SELECT lang, part, size, a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
     c AS (SELECT k.*, x.a AS l, y.a AS r, CAST(1000 * CAST(k.a AS HUGEINT) * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
       FROM k JOIN t USING (lang) JOIN f x ON x.lang = k.lang AND x.part = k.part[:k] JOIN f y ON y.lang = k.lang AND y.part = k.part[k + 1:]),
@@ -187,7 +187,7 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT DISTINCT f.lang, list_slice(part, j, j + m - 1) AS part, a FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2) f, unnest(range(1, size - m + 2)) u(j)),
     e AS (SELECT b.*, n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, array_to_string(b.part, ' ')) AS rank
       FROM b JOIN t USING (lang) ANTI JOIN o ON o.lang = b.lang AND o.part = b.part AND o.a >= b.a)
-    SELECT lang, rank, array_to_string(part, ' ') AS phrase, a, l, r, n, score FROM e WHERE rank <= {phrases.TOP}""",
+    SELECT lang, rank, array_to_string(part, ' ') AS phrase, a, l, r, n, score FROM e WHERE rank <= {phrases.LIMITS.top}""",
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first collocations of each language."""

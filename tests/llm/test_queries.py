@@ -14,6 +14,7 @@ from tests.conftest import DATA
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tests.llm.test_tokens import expected
 from tests.llm.test_vptree import brute
+from tests.llm.test_whitening import slow as whitened_slowly
 from tests.test_queries import TABLES, plain
 
 SF = f"{DATA}/sf0.001"
@@ -146,7 +147,22 @@ def test_op9(spark, folder):
         assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
 
 
+def test_op13(spark, folder):
+    data = [(r.vec_id, r.embedding) for r in table(spark, folder, "embeddings").collect() if all(np.isfinite(r.embedding))]
+    got = sorted(rows(spark, "op13_whitening", folder).collect(), key=lambda r: (r.vec_id, r.component))
+    if not data:
+        assert got == []
+        return
+    n, deviation, whitened, explained = whitened_slowly(sorted(data))
+    k = whitened.shape[1]
+    assert [(r.vec_id, r.component, r.n) for r in got] == [(i, c, n) for i, _ in sorted(data) for c in range(1, k + 1)]
+    assert [r.deviation for r in got[::k]] == deviation
+    w = np.array([r.whitened for r in got]).reshape(-1, k)
+    assert np.allclose(w * np.sign((w * whitened).sum(axis=0)), whitened, atol=1e-6)
+    assert np.allclose([r.explained for r in got[:k]], explained, rtol=1e-4) and all(r.identity_error < 1e-4 for r in got)
+
+
 def test_every_query_is_here():
     tested = {n for n in globals() if n.startswith("test_op")}
     assert {n for n in REGISTRY.queries if n not in REGISTRY.oracles} == {n for n in REGISTRY.queries if f"test_{n.split('_')[0]}" in tested}
-    assert len(REGISTRY.queries) == 10
+    assert len(REGISTRY.queries) == 13
