@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quern.llm.common import join_small, written
-from quern.llm.graph import components
+from quern.llm.graph import components, least_reached
 
 SEED, SHINGLE, RADIUS, BLOCKS = 42, 3, 2, 4
 #: Classes to a tile.
@@ -148,21 +148,6 @@ def linked(unit: np.ndarray, side: np.ndarray, pc: np.ndarray, fp: np.ndarray, r
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least place each of n rows reaches over the links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, root, new[np.arange(n)])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """Edges a, b that join up all classes within the radius of each other.
 
@@ -186,7 +171,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile:
             unit, side, pc, fp = (x[same] for x in (unit, side, pc, fp))
             if not len(fp):
                 return None
-            root = forest(len(fp), *linked(unit, side, pc, fp.view(np.uint64), radius))
+            root = least_reached(len(fp), *linked(unit, side, pc, fp.view(np.uint64), radius))
             moved = root != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["a", "b"])
 

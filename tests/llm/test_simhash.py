@@ -73,11 +73,25 @@ def test_links_against_all_pairs(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("held", [7, 100, graph.EDGES])
+def test_components_of_a_long_chain_and_a_star(spark, held):
+    """The same whether all edges are one task's, or go through forests and rounds."""
     chain = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5)]
-    found = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    found = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long").repartition(5), held).collect()}
     assert found == {i: 0 for i in range(61)} | {1000 + k: 1000 for k in range(300)}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), held).count() == 0
+
+
+def test_random_graphs():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (300, 280), (300, 900)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = graph.stars(a - 20, b - 20)
+        root = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a, b):
+                root[i] = root[j] = min(root[i], root[j])
+        assert {int(i) + 20: int(j) + 20 for i, j in zip(x, y)} == {i: r for i, r in enumerate(root) if r != i}
 
 
 def test_documents(spark, odd_docs, no_docs):
