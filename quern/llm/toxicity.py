@@ -28,9 +28,8 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 GRAMS, BUCKETS, MIN_TEXTS = (3, 4, 5), 1 << 14, 4
 #: The training sample: labelled rows of each class at most.
 SAMPLE = 800
-EPOCHS, BATCH, RATE = 6, 24, 0.01
-#: Small samples are gone over more often, up to so many steps, and so many windows in all.
-LEAST_STEPS, MOST_WINDOWS = 150, 100_000
+#: Passes over the sample, texts to a step, and steps at least: small samples are gone over more often. Only the number of texts counts, never their length.
+EPOCHS, BATCH, LEAST_STEPS, RATE = 6, 24, 150, 0.01
 SEED = 5
 _REMEMBERED, _WORDS, _WINDOWS = 150_000, 100_000, 2048
 #: Gradients under this are zero in all that follows from them in single precision.
@@ -227,8 +226,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     rng, step = np.random.default_rng(seed), 0
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    n_windows = sum(len(windows(len(words))) for words in split)
-    for _ in range(max(epochs, min(-(-LEAST_STEPS * BATCH // len(texts)), MOST_WINDOWS // n_windows))):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             chosen = order[i : i + BATCH]
@@ -369,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
 
     Twice as many ids of each class are picked from the labels alone, those of the least hashes of the id: only ids under a bound on the hash, by the class's
     count, are looked at, so no task and not the driver sees more of a class than a few times ``sample``. Their texts are looked up whole, however long they
-    are (a broadcast of four times ``sample`` ids at most, and no shuffle of texts), and the first ``sample`` of each class by the hash go in, as
+    are (a broadcast of four times ``sample`` ids at most, and no shuffle of other texts), and written; the first ``sample`` of each class by the hash are brought to the driver, as
     texts only. An id that is labelled both ways counts as toxic; of an id with several texts the least counts. Rows without label or text are no training rows.
     """
     open_ = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
@@ -385,10 +383,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, pick long")
     texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "pick").agg(F.min("text").alias("text"))
-    rows = sorted(found.collect(), key=lambda r: (r.pick, r.doc_id))
-    taken = [r for label in (0, 1) for r in [r for r in rows if r.toxic == label][:sample]]
-    return train([r.text for r in taken], [int(r.toxic) for r in taken])
+    found = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "pick").agg(F.min("text").alias("text")), "labelled-texts")
+    ids = sorted(found.select("doc_id", "toxic", "pick").collect(), key=lambda r: (r.pick, r.doc_id))
+    taken = [r for label in (0, 1) for r in [r for r in ids if r.toxic == label][:sample]]
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in taken], "doc_id long")
+    texts = {r.doc_id: r.text for r in found.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").collect()}
+    return train([texts[r.doc_id] for r in taken], [int(r.toxic) for r in taken])
 
 
 def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame:
