@@ -13,7 +13,7 @@ from quern.functions import text as topics
 from quern.operators import evidence
 from quern.plans.registry import Registry
 from quern.session import shared_dir, table
-from quern.sources import papers
+from quern.sources import crossref, papers
 
 REGISTRY = Registry()
 
@@ -154,6 +154,23 @@ def works_in_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.read_works(spark, path).join(F.broadcast(titles), "journal", "left_semi").select("doi", "title", "journal", "year", "lang")
 
 
+SINCE = 2010
+
+
+@REGISTRY.add(
+    "works_discovered",
+    f"""SELECT '10.1/' || doc_id AS doi, md5(text) AS title_digest, source AS journal, CAST(2000 + doc_id % 25 AS INTEGER) AS year, lang FROM documents
+    WHERE source IN {WHITELIST} AND 2000 + doc_id % 25 >= {SINCE}""",
+)
+def works_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B5, B6: works of listed journals since a year, from the source of works; the filters are the source's own. Documents are landed as its pages, a text as the title."""
+    path, doi = shared_dir(spark, "pages"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(doi.alias("doi"), F.col("text").alias("title"), F.col("source").alias("journal"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), "lang")
+    crossref.land(docs, path)
+    found = crossref.works(spark, path=path).filter(F.col("journal").isin(*WHITELIST) & (F.col("year") >= SINCE))
+    return found.select("doi", F.md5("title").alias("title_digest"), "journal", "year", "lang")
+
+
 @REGISTRY.add(
     "directions_bilingual",
     """SELECT source, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS n_en, CAST(count(*) FILTER (lang <> 'en') AS BIGINT) AS n_other

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.registry import Registry
-from quern.session import table
-from quern.streaming import events
+from quern.session import shared_dir, table
+from quern.sources import queue
+from quern.streaming import events, sessions
 
 REGISTRY = Registry()
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -81,3 +82,31 @@ def stream_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks within half an hour after a view of the same user: two streams joined."""
     both = _events(spark, sf_dir), _events(spark, sf_dir)
     return events.finished(events.followed(both[0].filter("event_type = 'view'"), both[1].filter("event_type = 'click'"), "30 MINUTES"), "followed")
+
+
+@REGISTRY.add(
+    "stream_state_sessions",
+    f"""WITH g AS (SELECT user_id, ts, event_type, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT user_id, ts, event_type, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+    t AS (SELECT user_id, k, event_type, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM s GROUP BY ALL),
+    w AS (SELECT user_id, min(lo) AS window_start, max(hi) + INTERVAL 30 MINUTE AS window_end, CAST(sum(n) AS BIGINT) AS n, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS kinds FROM t GROUP BY user_id, k),
+    i AS (SELECT *, epoch_us(window_start) - epoch_us(lag(window_end) OVER (PARTITION BY user_id ORDER BY window_start)) AS idle FROM w)
+    SELECT user_id, window_start, window_end, n, kinds, CASE WHEN idle <= 259200000000 THEN idle / 1000000 END AS idle_seconds FROM i WHERE window_end <= {_CLOSED}""",
+)
+def stream_state_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users closed by timers, with their kinds of events and the silence before them, if it was no longer than three days."""
+    with events.keyed_state(spark):
+        return events.finished(sessions.closed_sessions(_events(spark, sf_dir), 30 * 60, 3 * 24 * 3600), "state-sessions")
+
+
+@REGISTRY.add("stream_from_log", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event once, from a message log that gets them in three lots; the stream is stopped after each and goes on from its offsets."""
+    topic, folder = shared_dir(spark, "topic"), shared_dir(spark, "from-log")
+    message = F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value")
+    lots = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), message, "ts", "event_id")
+    for lot in range(3):
+        queue.produce(lots.filter(F.col("event_id") % 3 == lot), topic, ["ts", "event_id"])
+        parsed = F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("m")
+        rows = events.continued(queue.stream(spark, topic).select(parsed).select("m.*"), folder)
+    return rows

@@ -6,6 +6,7 @@ Times are ``timestamp_ntz`` in the files; a watermark needs ``timestamp``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,30 @@ def read(spark: SparkSession, path: str, watermark: str = "1 hour", files_per_tr
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that has arrived, into Parquet files in the shared folder (exactly once, by the checkpoint beside them); the rows."""
+def continued(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that has arrived since its last run with this folder, into Parquet files there (exactly once, by the checkpoint beside them); all rows."""
     spark = stream.sparkSession
-    folder = shared_dir(spark, name)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a new stream over all that has arrived; the rows."""
+    return continued(stream, shared_dir(stream.sparkSession, name), mode)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which state of one's own with timers needs; other queries' setting stays."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _bounds(window: str) -> list:
     return [F.col(f"{window}.start").cast("timestamp_ntz").alias("window_start"), F.col(f"{window}.end").cast("timestamp_ntz").alias("window_end")]
 
