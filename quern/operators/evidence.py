@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import hierarchy
+
 #: Fixed counts of the outline.
 PARTS, STAGES = 11, 7
 
@@ -77,10 +79,10 @@ def outline(spark: SparkSession, gap: str | None = None, point: str | None = Non
 
 
 def directions_under(directions: DataFrame, root: str) -> DataFrame:
-    """direction_id, name and depth of a direction and all below it. ``directions``: direction_id, parent_id, name; a tree, however deep."""
-    spark = directions.sparkSession
-    sql = """WITH RECURSIVE t(direction_id, name, depth) AS (
-      SELECT direction_id, name, 0 FROM {directions} WHERE name = :root
-      UNION ALL SELECT d.direction_id, d.name, t.depth + 1 FROM {directions} d JOIN t ON d.parent_id = t.direction_id)
-    SELECT direction_id, name, depth FROM t"""
-    return spark.sql(sql, args={"root": root}, directions=directions)
+    """direction_id, name and depth of a direction and all below it, however deep. ``directions``: direction_id (different ones), parent_id, name.
+
+    Of two directions of that name, one below the other, what is below both counts from the nearer. Directions in a circle are below nothing.
+    """
+    links = directions.select(F.col("direction_id").alias("id"), F.col("parent_id").alias("parent"))
+    found = hierarchy.below(links, directions.filter(F.col("name") == root).select(F.col("direction_id").alias("id")))
+    return found.join(directions.select(F.col("direction_id").alias("id"), "name"), "id").select(F.col("id").alias("direction_id"), "name", F.col("depth").cast("int").alias("depth"))

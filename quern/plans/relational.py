@@ -10,9 +10,10 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators import joins, ranking
+from quern.operators import hierarchy, joins, ranking
 from quern.plans.registry import Registry
 from quern.session import shared_dir, table
 from quern.sources import files
@@ -204,11 +205,11 @@ define(
 @REGISTRY.add("join_asof", """SELECT e.event_id, e.user_id, v.value AS value_before FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') e
     ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON e.user_id = v.user_id AND e.ts >= v.ts""")
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track B: each click with the user's last view at or before it."""
-    events = table(spark, sf_dir, "events")
-    clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
-    views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("value_before"))
-    return joins.asof_join(clicks, views, "user_id", "ts", ["value_before"], slice_of=None).select("event_id", "user_id", "value_before")
+    """Track B: each click with the user's last view at or before it. Times are numbers here; every user's rows are cut into slices of them."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "at")
+    views = events.filter("event_type = 'view'").select("user_id", "at", F.col("value").alias("value_before"))
+    return joins.asof_join(clicks, views, "user_id", "at", ["value_before"]).select("event_id", "user_id", "value_before")
 
 
 @REGISTRY.add("join_asof_sliced", """SELECT e.event_id, e.user_id, v.value AS value_before FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') e
@@ -230,6 +231,28 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.range_join(points, intervals, "p_retailprice", "lo", "hi", 50.0).select("p_partkey", "s_suppkey")
 
 
+_SPAN = "10 ** (event_id % 8)"  # seconds: from one to 116 days
+
+
+@REGISTRY.add("join_intervals", f"""WITH s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS lo, epoch_us(ts) + CAST({_SPAN} AS BIGINT) * 1000000 AS hi FROM events)
+    SELECT a.event_id AS view_id, b.event_id AS click_id, a.user_id FROM s a JOIN s b ON a.user_id = b.user_id AND a.lo < b.hi AND b.lo < a.hi WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+def join_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: a user's views and clicks that overlap, if they last from one second to 116 days: intervals joined with intervals."""
+    lasts = F.expr("make_dt_interval(0, 0, 0, cast(pow(10, event_id % 8) as decimal(18, 6)))")
+    spans = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", (F.col("ts") + lasts).alias("te"))
+    side = lambda kind: spans.filter(F.col("event_type") == kind).select(F.col("event_id").alias(f"{kind}_id"), "user_id", F.col("ts").alias(f"{kind}_from"), F.col("te").alias(f"{kind}_to"))
+    met = joins.interval_join(side("view"), side("click"), ("view_from", "view_to"), ("click_from", "click_to"), 1.0, "user_id")
+    return met.select("view_id", "click_id", "user_id")
+
+
+@REGISTRY.add("hierarchy_depths", "SELECT event_id, min(event_id) OVER (PARTITION BY user_id) AS top, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS depth FROM events")
+def hierarchy_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: how far each event is from its user's first, over links from each event to the one before: chains climbed by path doubling."""
+    before = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
+    found = hierarchy.climb(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), before.alias("parent")))
+    return found.select(F.col("id").alias("event_id"), "top", "depth")
+
+
 @REGISTRY.add("join_salted", "SELECT l_orderkey, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND o_orderstatus = 'F'")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track B: an equi-join whose hot keys are dealt over salts."""

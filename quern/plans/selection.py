@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as topics
-from quern.operators import evidence
+from quern.operators import evidence, search
 from quern.plans.registry import Registry
 from quern.session import shared_dir, table
 from quern.sources import crossref, papers
@@ -201,3 +201,22 @@ def docs_ranked_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     similarity = F.round(topics.overlap(topics.terms(F.col("text")), topics.terms(F.lit(TOPIC))), 6)
     ranked = table(spark, sf_dir, "documents").select("doc_id", "source", similarity.alias("similarity"))
     return ranked.orderBy(F.desc("similarity"), "doc_id").limit(20)
+
+
+@REGISTRY.add(
+    "docs_by_bm25",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS terms FROM documents),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(terms)) AS length FROM d),
+    p AS (SELECT doc_id, size, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+    r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1}::DOUBLE / (tf + {search.K1}::DOUBLE * ({1 - search.B}::DOUBLE + {search.B}::DOUBLE * size / length))), 6) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id),
+    w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM w WHERE rank <= 10""",
+)
+def docs_by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: every benchmark text as a question over all documents, the ten best each by an inverted index."""
+    index = search.build(table(spark, sf_dir, "documents"))
+    found = search.search(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")

@@ -45,6 +45,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a shared folder and read again: worked out once, whatever is made of it, and found again after an executor is lost."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcasting if it has no more than so many rows; counted no further."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 #: Folders handed out so far.
 _made: list[str] = []
 

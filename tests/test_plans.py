@@ -17,8 +17,9 @@ def plan(df):
         (selection.docs_in_whitelist, ["In(source,"], ["Exchange", "text:string"]),
         (selection.hot_sources_verified, ["LeftSemi", "TakeOrderedAndProject", "EqualTo(quality,1)"], ["text:string"]),
         (relational.top_k_per_group, ["WindowGroupLimit"], ["o_orderdate"]),
-        (relational.join_range, ["_bucket"], ["CartesianProduct", "BroadcastNestedLoopJoin"]),
-        (relational.join_asof, ["Window"], ["Join", "Cartesian"]),
+        (relational.join_range, ["_node"], ["CartesianProduct", "BroadcastNestedLoopJoin"]),
+        (relational.join_asof, ["Window", "_slice"], ["Cartesian", "NestedLoop"]),
+        (relational.join_intervals, ["_node"], ["Cartesian", "NestedLoop"]),
         (relational.REGISTRY.queries["join_inner_star"], ["Join"], ["CartesianProduct", "NestedLoop"]),
     ],
 )
