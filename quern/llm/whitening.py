@@ -97,7 +97,7 @@ def exact_scatter(rows: DataFrame, d: int) -> tuple[int, list[int], np.ndarray]:
 
     made = rows.select("vector").mapInArrow(products, trees.PARTS)
     summed = trees.tree_sum(made, "<i8", "scatter", lambda arrays, p: arrays.sum(axis=0) % p).collect()
-    whole = remaindered({r.slot: np.frombuffer(r["values"], dtype="<i8").reshape(d + 1, d + 1) for r in summed})
+    whole = remaindered({r.slot: trees.unpacked(r["values"], "<i8").reshape(d + 1, d + 1) for r in summed})
     return int(whole[d, d]), [int(v) for v in whole[d, :d]], whole[:d, :d]
 
 
@@ -151,7 +151,7 @@ def identity_error(rows: DataFrame, d: int, net: Whitening) -> float:
             yield trees.parts([0], TaskContext.get().partitionId(), [found])
 
         summed = trees.tree_sum(rows.select("vector").mapInArrow(run, trees.PARTS), "<f8", name, lambda arrays, _: arrays.sum(axis=0))
-        return np.frombuffer(summed.first()["values"], dtype="<f8") / net.n
+        return trees.unpacked(summed.first()["values"], "<f8") / net.n
 
     mean = total(lambda w: w.sum(axis=0), k, "means")
     products = total(lambda w: (w - mean).T @ (w - mean), k * k, "products")
