@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators import hierarchy, joins, ranking
+from quern.functions import tables
+from quern.operators import hierarchy, joins, ranking, sketches, theta
 from quern.plans.registry import Registry
 from quern.session import shared_dir, table
 from quern.sources import files
@@ -348,3 +349,67 @@ def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = files.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), shared_dir(spark, "bucketed"), "o_orderkey", 8)
     joined = lines.join(heads.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@REGISTRY.add("join_theta_counted", """SELECT o_orderkey, CAST(coalesce(n, 0) AS BIGINT) AS n_matches FROM orders LEFT JOIN (
+    SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN lineitem ON o_totalprice < l_extendedprice AND o_orderdate >= l_shipdate GROUP BY o_orderkey) ON o_orderkey = k""")
+def join_theta_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: for each order, how many lines cost more than it and were shipped before it: two large sides on two inequalities, counted without pairs."""
+    orders, lines = (table(spark, sf_dir, n) for n in ("orders", "lineitem"))
+    orders, lines = orders.select("o_orderkey", "o_totalprice", "o_orderdate"), lines.select("l_extendedprice", "l_shipdate")
+    found = theta.theta_counts(orders, lines, ("o_totalprice", "<", "l_extendedprice"), ("o_orderdate", ">=", "l_shipdate"))
+    return found.select("o_orderkey", "n_matches")
+
+
+_RANGES = (("2024-01-01", "2024-01-31"), ("2024-01-05", "2024-01-11"), ("2024-01-17", "2024-01-17"))
+
+
+@REGISTRY.add(
+    "sketches_by_day",
+    " UNION ALL ".join(f"SELECT '{a}' AS first_day, event_type, count(*) AS n, min(value) AS low, max(value) AS high, true AS users_near, true AS median_near FROM events WHERE CAST(ts AS DATE) BETWEEN '{a}' AND '{b}' GROUP BY event_type" for a, b in _RANGES),
+)
+def sketches_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: ranges of days answered from a table of daily sketches, kept in two loads that share days; distinct users and medians within the stated error of the exact ones."""
+    events, path = table(spark, sf_dir, "events"), shared_dir(spark, "sketches")
+    for load in (F.to_date("ts") <= F.lit("2024-01-20").cast("date"), F.to_date("ts") >= F.lit("2024-01-15").cast("date")):
+        sketches.keep(sketches.sketched(events.filter(load), "ts", ["event_type"], "user_id", "value"), path)
+    out = None
+    for first, last in _RANGES:
+        found = sketches.merged(spark, path, ["event_type"], first, last, [0.5]).withColumn("median", F.get("quantiles", F.lit(0)))
+        days = events.filter(F.to_date("ts").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+        ranks = days.join(F.broadcast(found.select("event_type", "median")), "event_type").groupBy("event_type")  # a row a type
+        exact = ranks.agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") < F.col("median")).alias("under"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+        users = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("users"))
+        median = (F.col("under") <= (0.5 + sketches.RANK_ERROR) * F.col("n") + 1) & (F.col("upto") >= (0.5 - sketches.RANK_ERROR) * F.col("n") - 1)
+        part = found.join(exact, "event_type").select(F.lit(first).alias("first_day"), "event_type", "n", "low", "high", users.alias("users_near"), median.alias("median_near"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@REGISTRY.add(
+    "udtf_dialogue",
+    """WITH c AS (SELECT *, CASE WHEN turn > min(turn) OVER w AND role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS switch FROM conversations WINDOW w AS (PARTITION BY conv_id))
+    SELECT conv_id, CAST(count(*) AS INT) AS n_turns, CAST(sum(switch) AS INT) AS n_switches,
+      CAST(count(*) FILTER (role = 'user') AS INT) AS user_turns, CAST(coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS BIGINT) AS user_chars, arg_max(text, turn) FILTER (role = 'user') AS user_last,
+      CAST(count(*) FILTER (role = 'assistant') AS INT) AS assistant_turns, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS assistant_chars, arg_max(text, turn) FILTER (role = 'assistant') AS assistant_last
+    FROM c GROUP BY conv_id""",
+)
+def udtf_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: a table function over conversations, dealt and ordered as it asks for, whose columns are decided by the call."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM quern_dialogue(table => TABLE({c}), conversation => 'conv_id', place => 'turn', roles => 'user,assistant')", c=table(spark, sf_dir, "conversations"))
+
+
+@REGISTRY.add(
+    "table_kept_up_to_date",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'changed' ELSE o_orderstatus END AS status,
+    CAST(CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 2 ELSE 1 END AS INT) AS version FROM orders""",
+)
+def table_kept_up_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track B: all orders by year, then a second load of the years from 1997 on, in which each has changed, and that load once more."""
+    orders, path = table(spark, sf_dir, "orders"), shared_dir(spark, "kept")
+    whole = orders.select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
+    late = whole.filter("y >= 1997").withColumn("status", F.lit("changed")).withColumn("version", F.lit(2))
+    for load in (whole, late, late, whole.filter("y = 1998")):
+        files.upsert(load, path, ["o_orderkey"], "y", "version")
+    return files.existing(spark, path, whole.schema)

@@ -59,12 +59,20 @@ def broadcast_up_to(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Folders handed out so far.
+#: Folders handed out so far, and names of tables that lie in them.
 _made: list[str] = []
+_named: list[str] = []
+
+
+def named(table_name: str) -> None:
+    """Keeps in mind that a table lies in a folder that clear_shared() deletes."""
+    _named.append(table_name)
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Deletes all folders that shared_dir() has handed out. Call it once results are written elsewhere: frames made before read from them."""
+    """Deletes all folders that shared_dir() has handed out, and the catalog's tables in them. Call it once results are written elsewhere: frames made before read from them."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
     while _made:
         path = hadoop.Path(_made.pop())
