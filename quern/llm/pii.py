@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets, with DataFrame and SQL functions only.
 
 Entities are found by one pattern, brought to a normal form (so that spellings of one entity stay one), and each different entity gets one keyed
-replacement of its own kind: same format, script and gender, valid check digits. Names are found after a title; each of their parts is an entity, and all
+replacement of its own kind: same format, script and gender, valid check digits. Names are found after a title, an introduction, a signature or in a letter's head; each of their parts is an entity, and all
 later mentions of a part in the same text, with or without a title, are replaced too. Replacements are checked over all entities: none is
 shared by two of them and none equals an entity that occurs; those that clash try the next attempt. So equal entities read
 equal and different ones different after replacement, over the whole table.
@@ -26,30 +26,35 @@ NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Mx")
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "dos", "la", "le", "bin", "ibn", "al", "el", "zu", "af", "av", "ter", "ten")
 NO_NAMES = ("the", "and", "but", "for", "not", "this", "that", "these", "those", "they", "she", "his", "her", "you", "der", "die", "das", "und", "les", "los", "las", "una")
 #: Signs of secrets that need hold no digit.
-_TOKEN_SIGNS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "sk-", "xox", "eyJ")
+_TOKEN_SIGNS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "sk-", "xox", "eyJ", "earer ", "PRIVATE KEY")
 
 #: Fixed patterns of entities. No group is repeated without a bound, as Java's engine would recurse once per turn.
 _TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
 _SHOUTED = "|".join(sorted((t.upper() for t in FEMALE + MALE + NEUTRAL), key=len, reverse=True))
-_LABEL = r"(?i:token|secret|api[_-]?key|passwd|password|pwd)\s?[=:]\s?[\"']?"
+_PASSPORT = r"(?i:passport)(?: (?i:no\.?|nr\.?|number))?"
+_LABEL = rf"(?:(?:(?i:token|secret|api[_-]?key|passwd|password|pwd)|{_PASSPORT})\s?[=:]\s?[\"']?|(?i:bearer) (?=[A-Za-z0-9._~+/-]{{16}})|{_PASSPORT} (?=[A-Z]{{0,2}}\d{{6}}))"
+_PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 _TOKEN = r"(?:gh[oprsu]_|github_pat_|sk-|xox[abeprs]-|eyJ)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
+    "pem": _PEM + r"(?:\s{1,2}+[A-Za-z0-9+/=]{16,}+){1,200}(?:\s{1,2}+[A-Za-z0-9+/=]{1,15}+(?=\s?-----END))?",
+    "login": r"(?<=://)[^\s/@:]{1,64}+:[^\s/@]{1,128}+(?=@)",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,126}\.\p{L}{2,63}",
     "cloud_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![\p{L}\p{N}_])" + _LABEL + r"[^\s\"',;]{6,}",
     "token": r"(?<![\p{L}\p{N}_])" + _TOKEN + r"[A-Za-z0-9_.-]{19,}[A-Za-z0-9_-]",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,30}}\d)(?:{_HEX}:){{2,6}}(?:(?::{_HEX}){{1,5}}|:)|(?=[A-Fa-f:]{{0,30}}\d){_HEX}:(?::{_HEX}){{2,6}})(?![\p{{L}}\p{{N}}:])",
-    "phone": r"(?<![\d+])\+\d(?:[ .-]?[()]?[ .-]?\d){6,14}(?!\d)|(?<![\d(+.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d(?:[ .-]?[()]?[ .-]?\d){6,14}(?!\d)|(?<![\d(+.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|"
+    r"(?<![\d(+.,/-])0(?:\d(?:[ .]\d\d){4}|\d{2,4}[ /-](?:\d{6,8}|\d{3,4}[ -]\d{3,4}))(?![\d-])",
     "ssn": r"(?<![\d.+-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
 #: One pattern for all, ordered so that most places fail at one look: kinds that begin a word, then those that begin with a digit or sign.
 PATTERN = (
-    r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "cloud_key", "secret", "token", "iban", "ipv6")) + ")|"
+    r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("pem", "login", "email", "cloud_key", "secret", "token", "iban", "ipv6")) + ")|"
     "(?=[+(0-9])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "ip", "card")) + ")"
 )
 #: A word that may be part of a name: two letters or more, the first a capital, or letters that have no case.
@@ -57,13 +62,18 @@ NAME_PART = r"(?<![\p{L}\p{M}])[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]++"
 _NAME = r"[\p{Lu}\p{Lt}\p{Lo}](?:[\p{L}\p{M}]++(?:['’-]\p{L}[\p{L}\p{M}]*+){0,5}|['’-]\p{Lu}[\p{L}\p{M}]++(?:['’-]\p{L}[\p{L}\p{M}]*+){0,5}|\.)"
 _JOINED = "(?:(?:" + "|".join(PARTICLES) + ")[ -]){0,3}" + _NAME
 _LOUD = r"\p{Lu}(?:[\p{Lu}\p{M}]++(?:['’-]\p{Lu}++){0,5}|['’-]\p{Lu}++|\.)(?![\p{L}\p{M}])"
-#: A name with all the titles before it; titles in capitals only before a name in capitals.
+#: What else says that a name follows: an introduction; a signature, a form's field or a letter's head, which want a first and a last name.
+_INTRODUCED, _SIGNED = "[Mm]y name is ", r"(?:[Nn]ame: |[Ss]igned,? |[Rr]egards,\s|[Ss]incerely,\s)"
+_HEAD = "(?m:^)(?:From|To|Cc): "
+#: A name with all the titles before it, or with what introduces it; titles in capitals only before a name in capitals.
 PERSON = (
-    rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? ){{1,4}}{_JOINED}(?: {_JOINED}){{0,8}}|(?:(?:{_SHOUTED})\.? ){{1,4}}{_LOUD}(?: {_LOUD}){{0,8}})"
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? ){{1,4}}{_JOINED}(?: {_JOINED}){{0,8}}|(?:(?:{_SHOUTED})\.? ){{1,4}}{_LOUD}(?: {_LOUD}){{0,8}}|"
+    rf"{_INTRODUCED}{_JOINED}(?: {_JOINED}){{0,3}}|{_SIGNED}{_JOINED}(?: {_JOINED}){{1,3}}|{_HEAD}{_JOINED}(?: {_JOINED}){{1,3}}(?m:(?= ?<| ?$)))"
 )
-_TITLE_RUN = rf"^(?:(?:{_TITLES}|{_SHOUTED})\.? )+"
+_TITLE_RUN = rf"^(?:{_INTRODUCED}|{_SIGNED}|{_HEAD})?(?:(?:{_TITLES}|{_SHOUTED})\.? )*"
 #: A title's first letter and any title's rest: quick to look for, and no text with a title lacks it.
 _TITLE_SIGN = "[" + "".join(sorted({t[0] for t in FEMALE + MALE + NEUTRAL})) + "](?:" + "|".join(sorted({x[1:] for t in FEMALE + MALE + NEUTRAL for x in (t, t.upper())})) + r")\.? "
+_CUE_SIGN = r"y name is |ame: |igned,? |egards,\s|incerely,\s|From: |To: |Cc: "
 #: In texts with titled names every word that may be part of one is looked at.
 RICH = f"{PATTERN}|{NAME_PART}"
 
@@ -95,8 +105,8 @@ _GREEK, _CYRILLIC, _LATIN = r"\p{IsGreek}", r"\p{IsCyrillic}", r"\p{IsLatin}"
 
 
 def holds_name(text: Column) -> Column:
-    """Whether a text holds a name after a title."""
-    return F.coalesce(text.rlike(_TITLE_SIGN) & text.rlike(PERSON), F.lit(False))
+    """Whether a text holds a name after a title, or another sign that a name follows."""
+    return F.coalesce((text.rlike(_TITLE_SIGN) | text.rlike(_CUE_SIGN)) & text.rlike(PERSON), F.lit(False))
 
 
 def holds_entity(text: Column) -> Column:
@@ -136,7 +146,8 @@ def _mod97(code: Column) -> Column:
 def kind_of(match: Column) -> Column:
     """The kind of a match: "word" for what may be part of a name; null if it is nothing after all (a number with a wrong check digit)."""
     return (
-        F.when(match.contains("@") & match.rlike(_all_of(PATTERNS["email"])), "email")
+        F.when(match.startswith("-----BEGIN"), "pem")
+        .when(match.contains("@") & match.rlike(_all_of(PATTERNS["email"])), "email")
         .when(match.rlike("^A[KS]IA[0-9A-Z]{16}$"), "cloud_key")
         .when(match.rlike("^" + _LABEL), "secret")
         .when(match.rlike("^" + _TOKEN + "[A-Za-z0-9_.-]{20}"), "token")
@@ -146,6 +157,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike(_all_of(PATTERNS["ssn"])), "ssn")
         .when(match.rlike(r"^[\d -]+$"), F.when(_luhn_sum(_digits(match)) % 10 == 0, "card"))
         .when(match.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6")
+        .when(match.rlike(r"^[^\s/@:]+:[^\s/@]+$"), "login")
         .when(match.rlike(r"^\p{L}"), "word")
     )
 
@@ -236,22 +248,25 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str = KEY) ->
     body = _swapped(F.substring(normal, F.lit(2), F.length(normal) - 2), stream)
     head = F.concat(F.substring(normal, 1, 1), body)
     card = F.concat(head, ((10 - _luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10).cast("string"))
-    code = F.greatest(F.length(normal) - 10, F.lit(0))
+    code = F.greatest(F.length(normal) - 10, F.when(normal.startswith("0"), 1).otherwise(0))  # a country's code or a trunk's zero stays
     area = _pick("23456789", _byte(stream, F.lit(31)))
     phone = F.concat(F.substring(normal, F.lit(1), code), area, _swapped(F.substring(normal, code + 2, F.length(normal)), stream))
     ssn = F.concat(_pick("12345678", _byte(stream, F.lit(31))), _swapped(F.substring(normal, 2, 8), stream))
     ip = F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     hexes = {"[0-9]": "0123456789", "[a-f]": "abcdef"}
     ipv6 = _swapped(normal, stream, hexes)
-    secret = F.concat(F.when(normal.rlike("^[0-9a-f]+$"), _swapped(normal, stream, {"[0-9a-f]": "0123456789abcdef"})).otherwise(_swapped(normal, stream)), F.substring(stream, F.lit(60), longer))
+    secret = F.concat(F.when(normal.rlike("^(?=.*[a-f])[0-9a-f]+$"), _swapped(normal, stream, {"[0-9a-f]": "0123456789abcdef"})).otherwise(_swapped(normal, stream)), F.substring(stream, F.lit(60), longer))
     cloud = F.concat(F.substring(normal, 1, 4), _swapped(F.substring(normal, 5, 16), stream))
     prefix = F.regexp_extract(normal, "^" + _TOKEN, 0)
     token = F.concat(prefix, _swapped(F.substring(normal, F.length(prefix) + 1, F.length(normal)), stream), F.substring(stream, F.lit(60), longer))
+    head_of = F.regexp_extract(normal, "^" + _PEM, 0)
+    pem = F.concat(head_of, _swapped(F.substring(normal, F.length(head_of) + 1, F.length(normal)), stream))
+    login = F.concat(_swapped(normal, stream), F.substring(stream, F.lit(60), longer))
     country, account = F.substring(normal, 1, 2), _swapped(F.substring(normal, F.lit(5), F.length(normal)), stream)
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ipv6", ipv6)
-        .when(kind == "secret", secret).when(kind == "token", token).when(kind == "cloud_key", cloud).when(kind == "ssn", ssn).when(kind == "iban", iban)
+        .when(kind == "secret", secret).when(kind == "token", token).when(kind == "cloud_key", cloud).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "pem", pem).when(kind == "login", login)
         .otherwise(_name(normal, kind, attempt, key))
     )
 
@@ -326,7 +341,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     come back in their order, so very long texts with very many entities take no more than their own size; an entity
     in very many texts is a hot key of two written tables, which Spark splits. Columns of any name stay inside ``row``.
 
-    Initials, and names that no title precedes anywhere in their text, stay. E-mail addresses of more than 128 labels, or labels of more than 63 letters, are none.
+    Initials stay, and so do names that nothing introduces anywhere in their text: no title, "my name is", signature, field or head of a letter. E-mail addresses of more than 128 labels, or labels of more than 63 letters, are none.
     """
     keyed = docs.select(F.struct("*").alias("row"), F.col("text").alias("_text"))
     has = holds_entity(F.col("_text"))
@@ -359,7 +374,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     def begins(x: Column, i: Column) -> Column:
         before = F.get(F.col("_new"), i - 1)
-        same = F.coalesce(x["name"] & before["name"] & before["new"].isNotNull(), F.lit(False)) & F.get(F.col("_gaps"), i).isin(" ", "-", "'", "’")
+        same = F.coalesce(x["name"] & before["name"] & before["new"].isNotNull(), F.lit(False)) & F.get(F.col("_gaps"), i).rlike(r"^(?: (?:\p{L}\. ?){0,4}|[-'’])$")  # initials join
         return x["new"].isNotNull() & ~same
 
     rebuilt = joined.select("row", F.array_join(parts, "").alias("new_text"), F.size(F.filter("_new", begins)).cast("long").alias("n_replaced"))
