@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
-from quern.llm.common import written
+from quern.llm.common import give_back, written
 
 WORD = re.compile(r"\w+")
 #: Words to a window, and between the starts of two windows.
@@ -406,6 +406,8 @@ def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame
             logit = np.array(scorer.logits(t.as_py() for t in batch.column(1)), dtype=np.float64)
             found = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "score"])
+        del scorer
+        give_back()
 
     whole = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("_text"))
     return whole.mapInArrow(run, whole.select("row", F.lit(0.0).alias("score")).schema)
