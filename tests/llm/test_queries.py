@@ -1,5 +1,6 @@
 """The registered queries themselves: those with SQL against DuckDB, the others against brute force, on the smallest tables and on odd rows."""
 
+import os
 import zlib
 
 import duckdb
@@ -32,12 +33,12 @@ def folder(request, spark, tmp_path_factory, odd_docs, no_docs):
         return SF
     path = tmp_path_factory.mktemp(request.param)
     docs = {"odd": odd_docs, "hosts": hosts(spark), "empty": no_docs}[request.param]
-    docs = docs.withColumn("text", F.expr("if(length(text) > 9000, left(text, 9000), text)"))  # DuckDB's text of op8 is quadratic in a text's words
     docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
+    docs.withColumn("text", F.expr("left(text, 9000)")).coalesce(2).write.parquet(f"{path}/cut/documents.parquet")
     none = request.param == "empty"
     pages = docs.selectExpr("doc_id AS page_id", "source AS url", "text AS html").unionByName(docs.selectExpr("doc_id + 100 AS page_id", "'u' AS url", "text AS html"))
     pages.write.parquet(f"{path}/pages.parquet")
-    docs.selectExpr("doc_id", "int(doc_id % 2) AS quality", "int(doc_id % 2) AS toxic").write.parquet(f"{path}/labels.parquet")
+    docs.filter("length(text) < 9000").selectExpr("doc_id", "int(doc_id % 2) AS quality", "int(doc_id % 2) AS toxic").write.parquet(f"{path}/labels.parquet")
     vectors = "SELECT id * 4 AS vec_id, array(float(id % 5), float(id % 3), if(id = 7, float('nan'), 1.0F)) AS embedding, 0 AS label FROM range(40)"
     spark.sql(vectors).limit(0 if none else 40).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
@@ -54,11 +55,14 @@ def documents(spark, folder):
 @pytest.mark.parametrize("name", sorted(REGISTRY.oracles))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
+    if name == "op8_host_quality" and folder != SF:
+        folder += "/cut"  # DuckDB's text of op8 is quadratic in a text's words; test_quality has long ones
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     if folder != SF:
         for t in ("documents", "pages", "labels", "embeddings"):
-            con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+            if os.path.exists(f"{folder}/{t}.parquet"):
+                con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     ours, theirs = rows(spark, name, folder).toPandas(), con.execute(REGISTRY.oracles[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert plain(ours) == plain(theirs)
