@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as topics
-from quern.operators import evidence, search
+from quern.operators import evidence, search, termsets
 from quern.plans.registry import Registry
 from quern.session import shared_dir, table
 from quern.sources import crossref, papers
@@ -220,3 +220,42 @@ def docs_by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.build(table(spark, sf_dir, "documents"))
     found = search.search(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+def _term_sets_sql(documents: str) -> str:
+    """Common table expressions up to ``sets`` (terms, n_docs): all sets of one to three terms that a share of the documents have."""
+    enough = f"count(*) * 100 >= (SELECT count(*) FROM d) * {termsets.PERCENT}"
+    return f"""d AS (SELECT row_number() OVER () AS id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS terms FROM {documents}),
+    u AS (SELECT id, unnest(terms) AS term FROM d),
+    f AS (SELECT term, count(*) AS n FROM u GROUP BY term HAVING {enough} AND count(*) * 100 <= (SELECT count(*) FROM d) * {termsets.COMMON}),
+    x AS (SELECT id, term FROM u JOIN f USING (term)),
+    two AS (SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.term < b.term GROUP BY ALL HAVING {enough}),
+    three AS (SELECT t1, t2, c.term AS t3, count(*) AS n FROM two JOIN x a ON a.term = t1 JOIN x b ON b.id = a.id AND b.term = t2 JOIN x c ON c.id = a.id AND c.term > t2 GROUP BY ALL HAVING {enough}),
+    sets AS (SELECT [term] AS terms, n AS n_docs FROM f UNION ALL SELECT [t1, t2], n FROM two UNION ALL SELECT [t1, t2, t3], n FROM three)"""
+
+
+VERIFIED = "(SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
+
+
+@REGISTRY.add(
+    "subdirections_frequent",
+    f"""WITH {_term_sets_sql("documents")}
+    SELECT array_to_string(terms, ' ') AS direction, CAST(len(terms) AS INTEGER) AS n_terms, CAST(n_docs AS BIGINT) AS n_docs FROM sets""",
+)
+def subdirections_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8: all sets of up to three terms that a twentieth of the documents have together."""
+    sets = termsets.term_sets(table(spark, sf_dir, "documents"))
+    return sets.select(F.concat_ws(" ", "terms").alias("direction"), F.size("terms").alias("n_terms"), "n_docs")
+
+
+@REGISTRY.add(
+    "subdirections_hot",
+    f"""WITH {_term_sets_sql(VERIFIED)}
+    SELECT CAST(row_number() OVER (ORDER BY n_docs DESC, array_to_string(terms, ' ')) AS INTEGER) AS rank, array_to_string(terms, ' ') AS direction, CAST(n_docs AS BIGINT) AS n_docs
+    FROM sets s WHERE len(terms) > 1 AND NOT EXISTS (SELECT 1 FROM sets t WHERE len(t.terms) = len(s.terms) + 1 AND t.n_docs = s.n_docs AND list_has_all(t.terms, s.terms))
+    ORDER BY rank LIMIT 5""",
+)
+def subdirections_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8: the five sub-directions, found in the texts, that most verified documents have; a set that only repeats a part of another one does not count."""
+    verified = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return termsets.hot(table(spark, sf_dir, "documents").join(verified, "doc_id", "left_semi"), 5)
