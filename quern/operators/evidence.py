@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import hierarchy
@@ -62,20 +62,16 @@ def hot_groups(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     )
 
 
-def outline(spark: SparkSession, gap: str | None = None, point: str | None = None) -> DataFrame:
-    """Numbered placeholder rows of a proposal and of the writing guidance, marked as drafts, with the research gap and innovation point that were chosen."""
+def outline(directions: DataFrame, gap: str | None = None, point: str | None = None) -> DataFrame:
+    """Of each direction (the rows and columns given) the numbered placeholder rows of a proposal and of the writing guidance, marked as drafts, with the research gap and
+    innovation point that were chosen."""
 
-    def rows(kind: str, word: str, n: int) -> DataFrame:
-        return spark.range(1, n + 1).select(
-            F.lit(kind).alias("kind"),
-            F.col("id").cast("int").alias("number"),
-            F.concat(F.lit(f"{word} "), F.col("id").cast("string")).alias("title"),
-            F.lit("draft, pending full-text review").alias("status"),
-            F.lit(gap).cast("string").alias("gap"),
-            F.lit(point).cast("string").alias("point"),
-        )
+    def rows(kind: str, word: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.concat(F.lit(f"{word} "), i.cast("string")).alias("title")))
 
-    return rows("proposal", "part", PARTS).unionByName(rows("guidance", "stage", STAGES))
+    drafted = directions.select("*", F.inline(F.concat(rows("proposal", "part", PARTS), rows("guidance", "stage", STAGES))))
+    chosen = {"gap": F.lit(gap).cast("string"), "point": F.lit(point).cast("string")}
+    return drafted.withColumns({"status": F.lit("draft, pending full-text review"), **chosen})
 
 
 def directions_under(directions: DataFrame, root: str) -> DataFrame:

@@ -115,8 +115,10 @@ define("set_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custke
 define("set_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 define(
     "recursive_tree",
-    """WITH RECURSIVE t(n, steps) AS (SELECT CAST(27 AS BIGINT), 0 UNION ALL SELECT IF(n % 2 = 0, n DIV 2, 3 * n + 1), steps + 1 FROM t WHERE n > 1 AND steps < 90) SELECT n, steps FROM t""",
-    """WITH RECURSIVE t(n, steps) AS (SELECT CAST(27 AS BIGINT), 0 UNION ALL SELECT CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, steps + 1 FROM t WHERE n > 1 AND steps < 90) SELECT n, steps FROM t""",
+    """WITH RECURSIVE t(c_custkey, depth) AS (SELECT c_custkey, 0 FROM {customer} WHERE c_custkey <= 1
+    UNION ALL SELECT c.c_custkey, depth + 1 FROM {customer} c JOIN t ON c.c_custkey DIV 2 = t.c_custkey WHERE c.c_custkey > 1) SELECT c_custkey, depth FROM t""",
+    """WITH RECURSIVE t(c_custkey, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey <= 1
+    UNION ALL SELECT c.c_custkey, depth + 1 FROM customer c JOIN t ON c.c_custkey // 2 = t.c_custkey WHERE c.c_custkey > 1) SELECT c_custkey, depth FROM t""",
 )
 define(
     "correlated_scalar",

@@ -79,27 +79,27 @@ def evidence_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.with_level(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "level", "pending_review")
 
 
-@REGISTRY.add(
-    "outline_rows",
-    """SELECT 'proposal' AS kind, CAST(i AS INTEGER) AS number, 'part ' || i AS title FROM range(1, 12) t(i)
-    UNION ALL SELECT 'guidance', CAST(i AS INTEGER), 'stage ' || i FROM range(1, 8) t(i)""",
-)
+_HOT = """(SELECT source AS direction, count(*) AS n_verified FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+    GROUP BY source ORDER BY n_verified DESC, source LIMIT 5)"""
+_OUTLINE = """(SELECT 'proposal' AS kind, CAST(i AS INTEGER) AS number, 'part ' || i AS title FROM range(1, 12) t(i)
+    UNION ALL SELECT 'guidance', CAST(i AS INTEGER), 'stage ' || i FROM range(1, 8) t(i))"""
+
+
+@REGISTRY.add("outline_rows", f"SELECT direction, kind, number, title FROM {_HOT}, {_OUTLINE}")
 def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7 (B12, B13): the numbered parts of a proposal and stages of the guidance, with placeholder titles."""
-    return evidence.outline(spark).select("kind", "number", "title")
+    """A7 (B12, B13): for each of the five hot directions the numbered parts of a proposal and stages of the guidance, with placeholder titles."""
+    hot = evidence.hot_groups(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), k=5)
+    return evidence.outline(hot.select(F.col("source").alias("direction"))).select("direction", "kind", "number", "title")
 
 
 GAP, POINT = "gap 2", "point 3"
 
 
-@REGISTRY.add(
-    "outline_for_choice",
-    f"""SELECT 'proposal' AS kind, CAST(i AS INTEGER) AS number, 'part ' || i AS title, '{GAP}' AS gap, '{POINT}' AS point FROM range(1, 12) t(i)
-    UNION ALL SELECT 'guidance', CAST(i AS INTEGER), 'stage ' || i, '{GAP}', '{POINT}' FROM range(1, 8) t(i)""",
-)
+@REGISTRY.add("outline_for_choice", f"SELECT direction, CAST(n_verified AS BIGINT) AS n_verified, kind, number, title, '{GAP}' AS gap, '{POINT}' AS point FROM {_HOT}, {_OUTLINE}")
 def outline_for_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B11 to B13: the outline for the gap and the point that the user chose."""
-    return evidence.outline(spark, GAP, POINT).select("kind", "number", "title", "gap", "point")
+    """B11 to B13: the outlines of the hot directions for the gap and the point that the user chose, with the verified documents each rests on."""
+    hot = evidence.hot_groups(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), k=5)
+    return evidence.outline(hot.select(F.col("source").alias("direction"), "n_verified"), GAP, POINT).drop("status")
 
 
 #: A declared tree of directions (id, parent, name): the data of the knowledge base is not supplied, so the sources stand for sub-directions.
