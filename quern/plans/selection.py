@@ -222,9 +222,9 @@ def docs_by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
 
 
-def _term_sets_sql(documents: str) -> str:
+def _term_sets_sql(documents: str, percent: int) -> str:
     """Common table expressions up to ``sets`` (terms, n_docs): all sets of one to three terms that a share of the documents have."""
-    enough = f"count(*) * 100 >= (SELECT count(*) FROM d) * {termsets.PERCENT}"
+    enough = f"count(*) * 100 >= (SELECT count(*) FROM d) * {percent}"
     return f"""d AS (SELECT row_number() OVER () AS id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS terms FROM {documents}),
     u AS (SELECT id, unnest(terms) AS term FROM d),
     f AS (SELECT term, count(*) AS n FROM u GROUP BY term HAVING {enough} AND count(*) * 100 <= (SELECT count(*) FROM d) * {termsets.COMMON}),
@@ -234,12 +234,14 @@ def _term_sets_sql(documents: str) -> str:
     sets AS (SELECT [term] AS terms, n AS n_docs FROM f UNION ALL SELECT [t1, t2], n FROM two UNION ALL SELECT [t1, t2, t3], n FROM three)"""
 
 
+#: A hot sub-direction is one of a tenth of the verified documents at least.
+HOT_PERCENT = 10
 VERIFIED = "(SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
 
 
 @REGISTRY.add(
     "subdirections_frequent",
-    f"""WITH {_term_sets_sql("documents")}
+    f"""WITH {_term_sets_sql("documents", termsets.PERCENT)}
     SELECT array_to_string(terms, ' ') AS direction, CAST(len(terms) AS INTEGER) AS n_terms, CAST(n_docs AS BIGINT) AS n_docs FROM sets""",
 )
 def subdirections_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +252,7 @@ def subdirections_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "subdirections_hot",
-    f"""WITH {_term_sets_sql(VERIFIED)}
+    f"""WITH {_term_sets_sql(VERIFIED, HOT_PERCENT)}
     SELECT CAST(row_number() OVER (ORDER BY n_docs DESC, array_to_string(terms, ' ')) AS INTEGER) AS rank, array_to_string(terms, ' ') AS direction, CAST(n_docs AS BIGINT) AS n_docs
     FROM sets s WHERE len(terms) > 1 AND NOT EXISTS (SELECT 1 FROM sets t WHERE len(t.terms) = len(s.terms) + 1 AND t.n_docs = s.n_docs AND list_has_all(t.terms, s.terms))
     ORDER BY rank LIMIT 5""",
@@ -258,4 +260,4 @@ def subdirections_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subdirections_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8: the five sub-directions, found in the texts, that most verified documents have; a set that only repeats a part of another one does not count."""
     verified = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return termsets.hot(table(spark, sf_dir, "documents").join(verified, "doc_id", "left_semi"), 5)
+    return termsets.hot(table(spark, sf_dir, "documents").join(verified, "doc_id", "left_semi"), 5, HOT_PERCENT)
