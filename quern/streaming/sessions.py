@@ -1,7 +1,8 @@
-"""Sessions of users in state of our own: a list of what is open, a map of its kinds, a value that outlives it, and timers that close and forget."""
+"""Sessions of users in state of our own: a list of what is open, a value that outlives it, and timers that close and forget."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -23,10 +24,11 @@ def split(events: list[tuple[int, int, str]], gap: int) -> list[list[tuple[int,
 
 
 class Sessions(StatefulProcessor):
-    """A user's events wait in a list until the watermark has passed the gap after the last of a session; a timer for each session's end wakes the user up then.
+    """A user's events wait in a list until the watermark has passed the gap after the last of a session; a timer for the first session's end wakes the user up then.
 
-    So rows may come in any order: one that is late, but not later than the watermark, may lengthen a session, join two, or stand before one, and their older timers
-    find nothing to close. The end of the last closed session is kept as a value, for the silence before the next, and forgotten by a timer ``memory`` later.
+    So rows may come in any order: one that is late, but not later than the watermark, may lengthen a session, join two, or stand before one, and older timers
+    find nothing to close. Calls for state cost far more than rows, so a lot of rows makes two, and one timer closes all sessions that the watermark has passed: what a user costs in a trigger is a few calls, however
+    many sessions end. The end of the last closed session is kept as a value, for the silence before the next, and forgotten by a timer ``memory`` later.
     Times are microseconds; timers are milliseconds, rounded up.
     """
 
@@ -36,7 +38,6 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getListState("open", "at long, event_id long, kind string")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
         self.closed = handle.getValueState("closed", "at long")
 
     def _timer(self, at: int) -> None:
@@ -44,41 +45,35 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         new = [(r["at"], r["event_id"], r["kind"]) for r in rows]
-        for kind in {e[2] for e in new if e[2] is not None}:
-            seen = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            self.kinds.updateValue((kind,), (seen + sum(e[2] == kind for e in new),))
         self.open.appendList(new)
-        for session in split([tuple(e) for e in self.open.get()], self.gap):
-            self._timer(session[-1][0] + self.gap)
+        self._timer(min(new)[0] + self.gap)  # no session with a new row ends before; those without have a timer
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        left: list[tuple[int, int, str]] = []
-        sessions = split([tuple(e) for e in self.open.get()], self.gap) if self.open.exists() else []
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        sessions = split([tuple(e) for e in self.open.get()], self.gap)
+        before = self.closed.get()[0] if self.closed.exists() else None
+        done = 0
         for session in sessions:
             end = session[-1][0] + self.gap
             if end > now:
-                left += session
-                continue
-            before = self.closed.get()[0] if self.closed.exists() else None
+                break
             idle = session[0][0] - before if before is not None and session[0][0] - before <= self.memory else None
-            found = {k: sum(e[2] == k for e in session) for k in {e[2] for e in session if e[2] is not None}}
-            for kind, n in found.items():
-                rest = self.kinds.getValue((kind,))[0] - n
-                if rest:
-                    self.kinds.updateValue((kind,), (rest,))
-                else:
-                    self.kinds.removeKey((kind,))
-            self.closed.update((end,))
-            self._timer(end + self.memory + 1000)
+            found = Counter(e[2] for e in session if e[2] is not None)
             yield Row(user_id=key[0], first=session[0][0], last=end, n=len(session), kinds=",".join(f"{k}:{v}" for k, v in sorted(found.items())), idle=idle)
+            before, done = end, done + 1
+        left = [e for session in sessions[done:] for e in session]
         if left:
-            self.open.put(left)
-        else:
+            self._timer(sessions[done][-1][0] + self.gap)
+            if done:
+                self.open.put(left)
+        elif done:
             self.open.clear()
-            if self.closed.exists() and now > self.closed.get()[0] + self.memory:
-                self.closed.clear()
+        if before is not None and now > before + self.memory:
+            self.closed.clear()
+        elif done:
+            self.closed.update((before,))
+            self._timer(before + self.memory + 1000)
 
     def close(self) -> None:
         pass

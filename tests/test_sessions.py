@@ -66,3 +66,70 @@ def test_the_setting_comes_back(spark):
         assert "RocksDB" in spark.conf.get(key)
         raise RuntimeError
     assert spark.conf.get(key) == before
+
+
+class Handle:
+    """State of one user in plain lists; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.rows, self.value = 0, set(), [], None
+
+    def _call(self, do):
+        def run(*args):
+            self.calls += 1
+            return do(*args)
+
+        return run
+
+    def __getattr__(self, name):  # any state is this one
+        if name.startswith("get") and name.endswith("State"):
+            return lambda kind, *_: State(self, kind)
+        raise AttributeError(name)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+class State:
+    def __init__(self, handle, kind):
+        self.handle, self.kind, self.held = handle, kind, None
+
+    def __getattr__(self, name):
+        do = {
+            "exists": lambda: bool(self.held),
+            "get": lambda: iter(self.held or []) if self.kind == "open" else self.held,
+            "getValue": lambda k: (self.held or {})[k],
+            "containsKey": lambda k: k in (self.held or {}),
+            "updateValue": lambda k, v: setattr(self, "held", {**(self.held or {}), k: v}),
+            "removeKey": lambda k: self.held.pop(k),
+            "appendList": lambda rows: setattr(self, "held", [*(self.held or []), *rows]),
+            "put": lambda rows: setattr(self, "held", list(rows)),
+            "update": lambda row: setattr(self, "held", row),
+            "clear": lambda: setattr(self, "held", None),
+        }
+        if name not in do:
+            raise AttributeError(name)
+        return self.handle._call(do[name])
+
+
+def test_calls_do_not_grow_with_sessions():
+    """A user's trigger takes a few calls for state, however many sessions it closes."""
+    calls = {}
+    for n in (5, 500):
+        processor, handle, out = sessions.Sessions(10_000_000, 10**12), Handle(), []
+        processor.init(handle)
+        processor.handleInputRows((1,), iter({"at": 60_000_000 * k, "event_id": k, "kind": "ab"[k % 2]} for k in range(n)), None)
+        now, fired = 60_000 * (n + 1), set()
+        while due := sorted(t for t in handle.timers - fired if t <= now):
+            fired.add(due[0])
+            times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: now, "getExpiryTimeInMs": lambda self: due[0]})()
+            out += processor.handleExpiredTimer((1,), times, times)
+        assert len(out) == n and [r.idle for r in out] == [None] + [50_000_000] * (n - 1)
+        calls[n] = handle.calls
+    assert calls[5] == calls[500] < 20
+
+
+def test_session_that_ends_at_the_watermark_is_closed(spark):
+    got = run(spark, [[(1, 100, 1, "a"), (2, 101, 2, "a"), (3, 1110, 3, "x")]], 10, 100, 1000)
+    assert got == [(1, 100, 110, 1, "a:1", None)]
