@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of their five-word shingles of 0.8 or more, the one of the smallest doc_id stays.
 
+    Fingerprints are compared in tiles and what they link is checked by whole sets; similar texts whose fingerprints lie further apart are found by prefixes of their sets.
     Texts of fewer words are one shingle; null, empty and blank texts are copies of each other; null ids come last. Of rows of one id and text one stays.
     Very long texts are read in parts. No documents: none stay. Other columns come back as they are, whatever their names.
     """

@@ -1,5 +1,8 @@
 """Near copies: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and no others.
 
+First the sets' fingerprints are compared by exclusive-or and bit counts in tiles, as ``simhash`` does, and the pairs within ``RADIUS`` bits that whole sets confirm are linked. A fingerprint promises
+no bound (sets with a similarity of 0.8 lie up to some 14 bits apart, where all tiles would have to meet), so what lies further apart is found exactly, by prefixes.
+
 Sets that are so similar share at least four fifths of the larger one. So if all shingles have one order, the first ``size // 5 + 1`` of both sets (their
 prefixes) share one. Common shingles, as counted in a sample, come last in that order, which keeps the groups of texts around a shingle small; the sample
 decides the work only, never the result. Pairs that meet in a group and share enough of their prefixes are compared by counts of
@@ -24,6 +27,8 @@ from quern.llm.common import give_back, join_small, written
 from quern.llm.graph import components
 
 SHINGLE = 5
+#: Bits that linked fingerprints may differ by, and blocks of bits they are dealt by: two of eight agree, 16 bits.
+RADIUS, BLOCKS = 6, 8
 #: Documents in whose texts common shingles are counted, about; texts from which on a shingle is common; common shingles at most.
 SAMPLE, COMMON, MOST = 10_000, 4, 100_000
 #: Texts of a shingle from which on few others are met first, how many, and how often, each time in another order.
@@ -73,26 +78,28 @@ def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key (of the set), size, cells (a byte each, 255 at most) and prefix of every row. Null texts count as empty."""
+    """doc_id, text_hash, key (of the set), size, cells (a byte each, 255 at most), prefix and fp (the set's fingerprint) of every row. Null texts count as empty."""
     common = common_shingles(docs)
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
-            keys, sizes, cells, prefixes = [], [], [], []
+            keys, sizes, cells, prefixes, fps = [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
                 keys.append(xxh64_intdigest(found.tobytes(), simhash.SEED))
                 sizes.append(len(found))
                 cells.append(np.minimum(np.bincount((found & 255).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 prefixes.append(prefix(found, common).view(np.int64))
+                fps.append(simhash.majority([found]))
             key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
             arrays = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), pa.array(cells, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "key", "size", "cells", "prefix"])
+            arrays.append(pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "key", "size", "cells", "prefix", "fp"])
         give_back()
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(make, "doc_id long, text_hash long, key long, size long, cells binary, prefix array<long>")
+    return slim.mapInArrow(make, "doc_id long, text_hash long, key long, size long, cells binary, prefix array<long>, fp long")
 
 
 def meetings(token: np.ndarray, size: np.ndarray, root: np.ndarray, every: bool, first: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,6 +214,16 @@ def meet(rows: DataFrame, every: bool, turn: int = 0, most: int | None = None) -
     return _dealt(ordered, ["size", "key"] if every else ["_order", "key"], find, "a long, b long, size_a long, size_b long")
 
 
+def fingerprint_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs a, b of keys whose fingerprints link, compared in tiles as ``simhash`` does; of the keys of one fingerprint the least meets the others and stands for them."""
+    firsts = written(classes.groupBy("fp").agg(F.min("key").alias("first")), "fingerprint-classes")
+    equal = join_small(classes.select("fp", "key"), firsts, "fp").filter(F.col("key") != F.col("first")).select("first", "key")
+    one, other = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
+    linked = written(simhash.links(firsts.select("fp"), RADIUS, BLOCKS), "links").join(one, "a").join(other, "b").select("first_a", "first_b")
+    both = equal.union(linked).toDF("a", "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def few_candidates(large: DataFrame, turn: int) -> DataFrame:
     """Pairs a, b of keys of large groups, each text with few others in an order of its own for each ``turn``: those that met often, which are worth a look."""
     met = meet(large, False, turn).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
@@ -265,15 +282,17 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text_hash and root: the same for all texts that are connected by similar pairs. Texts without words are copies of each other."""
     found = written(prints(docs), "prints")
-    classes = found.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "cells", "prefix")])
+    classes = found.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "cells", "prefix", "fp")])
     classes = written(classes, "classes")
     large, edges, roots = written(large_groups(classes), "large"), None, None
     rooted = lambda rows: (
         rows.withColumn("root", F.col("key")) if roots is None else rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     )
-    for turn in range(TURNS + 1):
+    for turn in range(-1, TURNS + 1):
         every = turn == TURNS
-        if every:
+        if turn < 0:
+            met = fingerprint_candidates(classes)
+        elif every:
             cells = rooted(large.filter("met")).join(classes.select("key", "cells"), "key")
             unmet = written(large.filter("9 * pos > size").groupBy("key").agg(F.count("*").alias("unmet")), "unmet")
             met = candidates(tokens_of(rooted(classes)), cells, unmet)

@@ -65,9 +65,13 @@ def fingerprint(text: str) -> int:
 
     Fewer words: all of them are the one shingle; none: zero.
     """
+    return majority(_shingle_hashes(words) for words in _parts(text.encode("utf-8", "surrogatepass").lower()) if words)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes; zero without hashes."""
     counts, n = np.zeros(_WEIGHT, dtype=np.int64), 0
-    for words in _parts(text.encode("utf-8", "surrogatepass").lower()):
-        hashes = _shingle_hashes(words) if words else np.zeros(0, "<u8")
+    for hashes in parts:
         n += len(hashes)
         for i in range(0, len(hashes), _CHUNK):
             part = hashes[i : i + _CHUNK]
