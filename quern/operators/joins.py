@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.session import broadcast_up_to, landed
+
 #: Slices of a number that an as-of join goes by.
 SLICES = 64
+#: Pairs that a part of a node makes, about; tasks at most.
+PAIRS, TASKS = 1 << 22, 8192
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list[str], slice_of: Column | None | str = "day") -> DataFrame:
@@ -88,10 +92,34 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
     levels = sorted(r._level for r in right.select("_level").distinct().collect())  # 64 at most
     nodes = F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))
     left = points.filter(F.col(at).isNotNull()).withColumn("_level", nodes).withColumn("_node", F.call_function("shiftright", position(F.col(at), kinds[0], width), F.col("_level")))
-    found = left.join(right, [*([by] if by else []), "_level", "_node"])
+    found = dealt_join(left, right, [*([by] if by else []), "_level", "_node"])
     return found.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_node")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join whose work is dealt by the pairs it makes, which may be many times the rows: few keys, or small tables, are not few tasks.
+
+    Rows of both sides are counted by key first. A key of over ``PAIRS`` pairs is cut into a grid of parts: left rows go to a random strip, right rows to a random column, and each is repeated
+    along the other side. There are as many tasks as the pairs ask for.
+    """
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_l")).join(right.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    parts = F.ceil(F.col("_l").cast("double") * F.col("_r") / PAIRS)
+    strips = F.least(parts, F.col("_l")).cast("int")
+    hot = landed(sizes.withColumn("_strips", strips).withColumn("_columns", F.ceil(parts / F.col("_strips")).cast("int")), "sizes")
+    pairs = hot.agg(F.sum(F.col("_l").cast("double") * F.col("_r")).alias("n")).first().n or 0.0
+    shuffled = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(min(max(pairs // PAIRS + 1, shuffled), max(TASKS, shuffled)))
+    hot = broadcast_up_to(hot.filter("_strips > 1 OR _columns > 1").select(*keys, "_strips", "_columns"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        cut = side.withColumn(f"{own}_", F.monotonically_increasing_id()).join(hot, keys, "left")
+        cut = cut.withColumn(own, F.pmod(F.xxhash64(f"{own}_"), F.coalesce(own, F.lit(1))).cast("int")).withColumn(other, every(F.coalesce(other, F.lit(1))))
+        return cut.drop(f"{own}_").repartition(tasks, *keys, "_strips", "_columns")
+
+    return dealt(left, "_strips", "_columns").join(dealt(right, "_columns", "_strips"), [*keys, "_strips", "_columns"]).drop("_strips", "_columns")
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float, by: str | None = None) -> DataFrame:
     """Pairs of intervals [start, end) that overlap (and have equal ``by`` columns). Other columns have to have different names.
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,22 @@ def test_circles_and_odd_parents(spark):
     found = {r.id: (r.top, r.depth) for r in below.collect()}
     assert found[9] == (2, 1) and found[2] == (2, 0) and found[100] == (1, 1) and found[8] == (5, 2) and found[7] == (5, 1) and found[6] == (5, 2) and 4 not in found
     assert hierarchy.climb(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
+def test_range_join_deals_pairs(spark, monkeypatch):
+    """Points in one granule, met by all intervals: no task makes more than a small share of the pairs, and each pair is there once."""
+    monkeypatch.setattr(joins, "PAIRS", 1000, raising=False)
+    points = spark.createDataFrame([(k, 10 + k / 1000) for k in range(400)], "p long, at double").coalesce(1)
+    spans = spark.createDataFrame([(k, 9.0, 11.0 + k) for k in range(100)], "s long, lo double, hi double").coalesce(1)
+    found = joins.range_join(points, spans, "at", "lo", "hi", 50.0).select("p", "s", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.p, r.s) for r in found) == [(p, s) for p in range(400) for s in range(100)]
+    shares = Counter(r.task for r in found)
+    assert max(shares.values()) <= len(found) / 5
+
+
+def test_range_join_cuts_both_sides(spark, monkeypatch):
+    """More intervals meet one point than a part may have."""
+    monkeypatch.setattr(joins, "PAIRS", 10, raising=False)
+    spans = spark.createDataFrame([(k, 0.0, 5.0) for k in range(300)], "s long, lo double, hi double")
+    found = joins.range_join(spark.createDataFrame([(1, 1.0), (2, None), (3, 5.0)], "p long, at double"), spans, "at", "lo", "hi", 50.0).select("p", "s").collect()
+    assert sorted(map(tuple, found)) == [(1, k) for k in range(300)]
