@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators.ranking import ranked
-from quern.session import landed
+from quern.session import broadcast_up_to, landed
 
-#: Slices of the second column that a node's rows are dealt over.
-SLICES = 64
+#: Rows of a slice of an order, about; slices at most.
+SLICE, SLICES = 1 << 18, 1024
 _SIGNS = {"<": (1, True), "<=": (1, False), ">": (-1, True), ">=": (-1, False)}
+_ROW = "id long, x double, y double, side int, slice int, n long"
 
 
 def theta_counts(left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str]) -> DataFrame:
@@ -19,40 +23,91 @@ def theta_counts(left: DataFrame, right: DataFrame, first: tuple[str, str, str],
 
     Columns are numbers, times or dates. Nulls fulfil nothing; repeated rows count each; n_matches is 0 where there is no match.
 
-    All rows get a place in the order of the first condition; what lies after a left row there is a few dyadic nodes of places, at most one a level, and a right row lies in
-    one node a level. In each node matches are counted by the order of the second condition. So rows grow by the logarithm of their number, whatever the number of
-    pairs, and nothing is compared with all of the other side. A node's rows are cut into slices of the second column, each counted in a window of its own, and the counts
-    of the slices before are carried on, so the largest nodes fill no task.
+    Both conditions say that the right row comes after the left one in an order. All rows are dealt to slices of the first order by range, then to slices of the second; equal values are told apart by the row,
+    so they fill no slice. The matches of a left row are those in its slice of the first order, counted there; those in its slice of the second one and later slices of the first, counted there;
+    and those in later slices of both, which are sums over a table with a cell for each pair of slices. So every row is shuffled twice, whatever the number of pairs, and
+    nothing is compared with all of the other side.
     """
     (a, op1, c), (b, op2, d) = first, second
     (s1, strict1), (s2, strict2) = _SIGNS[op1], _SIGNS[op2]
     number = lambda df, col, sign: F.lit(sign) * _number(F.col(col), df.schema[col].dataType.typeName())
     rows = landed(left.withColumn("_id", F.monotonically_increasing_id()), "left")
-    l = rows.select("_id", number(rows, a, s1).alias("x"), number(rows, b, s2).alias("y"), F.lit(0).alias("side"))
-    r = right.select(F.lit(-1).cast("long").alias("_id"), number(right, c, s1).alias("x"), number(right, d, s2).alias("y"), F.lit(1).alias("side"))
-    both = l.unionByName(r).filter("x IS NOT NULL AND y IS NOT NULL")
+    l = rows.select(F.col("_id").alias("id"), number(rows, a, s1).alias("x"), number(rows, b, s2).alias("y"), F.lit(0).alias("side"))
+    r = right.select(F.monotonically_increasing_id().alias("id"), number(right, c, s1).alias("x"), number(right, d, s2).alias("y"), F.lit(1).alias("side"))
+    both = landed(l.unionByName(r).filter("x IS NOT NULL AND y IS NOT NULL"), "both")
+    slices = min(SLICES, both.count() // SLICE + 1)
     # of equal values, right rows stand before left ones if equality does not count, and after them if it does
     tie = lambda strict: F.col("side").desc() if strict else F.col("side").asc()
-    placed = landed(ranked(both, [F.col("x"), tie(strict1)], "place"), "placed")
-    levels = int(placed.count()).bit_length()
-    node = F.call_function("shiftright", F.col("place"), F.col("level"))
-    spread = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(levels - 1, 0))))).withColumn("node", node)
-    odd = F.pmod(F.col("node"), F.lit(2)) == 1
-    met = spread.filter(odd == (F.col("side") == 1)).withColumn("node", F.when(F.col("side") == 1, F.col("node")).otherwise(F.col("node") + 1))
-    cuts = placed.approxQuantile("y", [k / SLICES for k in range(1, SLICES)], 0.005) if levels else []
-    slice_ = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<double>"), lambda x: x <= F.col("y")))
-    met = landed(met.select("level", "node", slice_.alias("slice"), "y", "side", "_id"), "nodes")
-    # the second condition holds for right rows after a left one too, so counts run from the end
-    totals = met.groupBy("level", "node", "slice").agg(F.sum("side").alias("n"))
-    after = F.coalesce(F.sum("n").over(W.partitionBy("level", "node").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    carried = totals.select("level", "node", "slice", after.alias("after"))
-    tie2 = F.col("side").asc() if strict2 else F.col("side").desc()
-    here = F.sum("side").over(W.partitionBy("level", "node", "slice").orderBy(F.desc("y"), tie2).rowsBetween(W.unboundedPreceding, 0))
-    counted = met.withColumn("here", here).filter("side = 0").join(carried, ["level", "node", "slice"])
-    sums = counted.groupBy("_id").agg(F.sum(F.col("here") + F.col("after")).alias("_n"))
+
+    def by_first(x: np.ndarray, y: np.ndarray, side: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return after(np.lexsort((_tie(side, strict1), x)), np.lexsort((_tie(side, strict2), y)), side)
+
+    def by_second(x: np.ndarray, y: np.ndarray, side: np.ndarray, slice_: np.ndarray) -> np.ndarray:
+        return after(np.lexsort((_tie(side, True), slice_)), np.lexsort((_tie(side, strict2), y)), side)
+
+    cut = both.repartitionByRange(slices, "x", tie(strict1), "id").withColumn("slice", F.spark_partition_id()).withColumn("n", F.lit(0).cast("long"))
+    cut = landed(cut.select("id", "x", "y", "side", "slice", "n").mapInArrow(_counting(by_first), _ROW), "by-first")
+    cut = cut.repartitionByRange(slices, "y", tie(strict2), "id").mapInArrow(_counting(by_second), _ROW).withColumn("other", F.spark_partition_id())
+    cut = landed(cut.select("id", "side", "slice", "other", "n"), "by-second")
+    held = cut.filter("side = 1").groupBy("slice", "other").agg(F.count("*").alias("held"))
+    every = cut.sparkSession.range(slices)
+    cells = every.select(F.col("id").cast("int").alias("slice")).crossJoin(every.select(F.col("id").cast("int").alias("other"))).join(held, ["slice", "other"], "left")
+    later = lambda value, by, order: F.sum(value).over(W.partitionBy(by).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1))
+    cells = cells.withColumn("_row", later("held", "slice", "other")).withColumn("later", later("_row", "other", "slice"))
+    cells = landed(cells.filter("later > 0").select("slice", "other", "later"), "cells")
+    lefts = cut.filter("side = 0").join(broadcast_up_to(cells), ["slice", "other"], "left")
+    sums = lefts.select(F.col("id").alias("_id"), (F.col("n") + F.coalesce("later", F.lit(0))).alias("_n"))
     return rows.join(sums, "_id", "left").withColumn("n_matches", F.coalesce("_n", F.lit(0)).cast("long")).drop("_id", "_n")
 
 
+def _tie(side: np.ndarray, strict: bool) -> np.ndarray:
+    return -side if strict else side
+
+
+def _counting(count):
+    """A function for mapInArrow that adds ``count`` (of x, y, side and slice of a partition's rows) to n."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        x, y, side, slice_ = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(1, 5))
+        found, at = count(x, y, side, slice_), 0
+        for b in held:
+            n = pa.array(b.column(5).to_numpy() + found[at : at + b.num_rows])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], n], names=["id", "x", "y", "side", "slice", "n"])
+            at += b.num_rows
+
+    return run
+
+
+def after(first: np.ndarray, second: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For each row of side 0 the number of rows of side 1 that come after it in both orders (each the places of the rows in it); 0 for others.
+
+    Rows in the first order are parted stably by the bits of their place in the second one, highest first: at each bit, of the rows that agree in those before, rows with a one come after those with a zero.
+    """
+    m = len(side)
+    counts = np.zeros(m, dtype=np.int64)
+    place = np.empty(m, dtype=np.int64)
+    place[second] = np.arange(m)
+    row = first
+    for bit in reversed(range(max(m - 1, 0).bit_length())):
+        q = place[row]
+        one = (q >> bit & 1).astype(bool)
+        start = q >> bit + 1 << bit + 1
+        end = np.minimum(start + (2 << bit), m)
+        rights = np.concatenate([[0], np.cumsum(one & (side[row] == 1))])
+        asks = np.flatnonzero(~one & (side[row] == 0))
+        counts[row[asks]] += rights[end[asks]] - rights[asks]
+        ones = np.concatenate([[0], np.cumsum(one)])
+        before = ones[:m] - ones[start]
+        to = np.where(one, start + (1 << bit) + before, np.arange(m) - before)
+        moved = np.empty_like(row)
+        moved[to] = row
+        row = moved
+    return counts
+
+
 def _number(c: Column, kind: str) -> Column:
     """A column as a number in its own order; times as microseconds, which doubles hold exactly for 285 years around 1970."""
     return (F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else c).cast("double")

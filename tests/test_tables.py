@@ -132,3 +132,20 @@ def test_bucketed_tables_go(spark):
     assert made.count() == 10 and {t.name for t in spark.catalog.listTables()} > before
     clear_shared(spark)
     assert not any(t.name.startswith("bucketed_") for t in spark.catalog.listTables())
+
+
+def test_theta_counts_in_slices(spark, monkeypatch):
+    """Over many slices, with values that repeat; the rows that are written on the way stay a few times those of the tables."""
+    monkeypatch.setattr(theta, "SLICE", 40, raising=False)
+    written, landed = [], theta.landed
+    monkeypatch.setattr(theta, "landed", lambda df, name: written.append(landed(df, name)) or written[-1])
+    rng = random.Random(5)
+    left = [(k, float(rng.choice([1, 1, rng.randrange(60)])), float(rng.randrange(30))) for k in range(600)]
+    right = [(float(rng.choice([1, 1, rng.randrange(60)])), float(rng.randrange(30))) for _ in range(900)]
+    for one, two in (("<", ">="), ("<=", ">"), (">", "<=")):
+        written.clear()
+        holds = {"<": lambda u, v: u < v, "<=": lambda u, v: u <= v, ">": lambda u, v: u > v, ">=": lambda u, v: u >= v}
+        want = {k: sum(holds[one](a, c) and holds[two](b, d) for c, d in right) for k, a, b in left}
+        got = theta.theta_counts(spark.createDataFrame(left, "id int, a double, b double"), spark.createDataFrame(right, "c double, d double").repartition(3), ("a", one, "c"), ("b", two, "d"))
+        assert {r.id: r.n_matches for r in got.collect()} == want
+        assert sum(df.count() for df in written) <= 5 * (len(left) + len(right))
