@@ -14,12 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as topics
-from quern.session import broadcast_up_to, landed
+from quern.session import broadcast_up_to, landed, shared_dir
+from quern.sources import files
 
 #: Fixed parameters of BM25.
 K1, B = 1.2, 0.75
 #: Documents to a range, about; ranges of a question that are scored first; digits of a score.
 BLOCK, PROBED, DIGITS = 64, 4, 6
+#: Documents to a bucket of the index, about; buckets at most.
+DEALT, BUCKETS = 512, 4096
 
 
 @dataclass
@@ -33,16 +36,20 @@ class Index:
 def build(docs: DataFrame, block: int = BLOCK) -> Index:
     """An index of doc_id and text, in two written tables. Every row is a document, also of a repeated or null id; null and empty texts count as documents without terms.
 
-    Postings are grouped by range and term, so a term that all documents have is a block in each range, and no row grows with the corpus.
+    Postings are grouped by range and term, so a term that all documents have is a block in each range, and no row grows with the corpus. Documents are shuffled once, whole, by range;
+    blocks are made where they land and are written bucketed by range, so that searching shuffles none of them.
     """
+    n = docs.count()
+    buckets = max(1, min(BUCKETS, -(-n // DEALT)))
     dealt = landed(docs.select("doc_id", topics.occurrences(F.col("text")).alias("terms"), F.monotonically_increasing_id().alias("row")), "terms")
-    stats = dealt.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("length")).first()
-    n, length = stats.n, stats.length or 1.0
-    counts = dealt.select("row", "doc_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("row", "doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    length = dealt.agg(F.avg(F.size("terms"))).first()[0] or 1.0
+    dealt = dealt.withColumn("range", F.pmod(F.xxhash64("row"), F.lit(-(-n // block) or 1))).repartition(buckets, "range")
+    counts = dealt.select("range", "row", "doc_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("range", "row", "doc_id", "size", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / length))
-    posted = counts.select("term", F.pmod(F.xxhash64("row"), F.lit(-(-n // block) or 1)).alias("range"), F.struct("row", "doc_id", weight.alias("weight")).alias("posting"))
+    posted = counts.select("term", "range", F.struct("row", "doc_id", weight.alias("weight")).alias("posting"))
     blocks = posted.groupBy("range", "term").agg(F.collect_list("posting").alias("postings"), F.max("posting.weight").alias("bound"))
-    blocks = landed(blocks.select("term", "range", "bound", F.size("postings").alias("n"), "postings"), "blocks")
+    blocks = blocks.select("term", "range", "bound", F.size("postings").alias("n"), "postings")
+    blocks = files.write_bucketed(blocks, shared_dir(docs.sparkSession, "blocks"), "range", buckets)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return Index(blocks, landed(blocks.groupBy("term").agg(F.sum("n").alias("df")).select("term", idf.alias("idf")), "idf"))
 
@@ -62,9 +69,10 @@ def bounded(index: Index, wanted: DataFrame) -> DataFrame:
 
 def scored(index: Index, wanted: DataFrame, ranges: DataFrame) -> DataFrame:
     """query_id, row, doc_id and score of all documents of the given ranges (query_id, range) that have a term of their question."""
-    blocks = index.blocks.join(broadcast_up_to(wanted), "term").join(broadcast_up_to(ranges), ["query_id", "range"], "left_semi")
-    parts = blocks.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "p.row", "p.doc_id", (F.col("p.weight") * F.col("idf")).alias("part"))
-    return parts.groupBy("query_id", "row", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    readers = ranges.groupBy("range").agg(F.collect_set("query_id").alias("readers"))  # a range meets all its questions where its blocks lie
+    blocks = index.blocks.join(readers.hint("shuffle_hash"), "range").join(broadcast_up_to(wanted), "term").filter(F.array_contains("readers", F.col("query_id")))
+    parts = blocks.select("query_id", "range", "idf", F.explode("postings").alias("p")).select("query_id", "range", "p.row", "p.doc_id", (F.col("p.weight") * F.col("idf")).alias("part"))
+    return parts.groupBy("query_id", "range", "row", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).drop("range")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

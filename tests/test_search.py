@@ -70,3 +70,17 @@ def test_supplied_documents_leave_blocks_closed(spark):
     share = search.skipped(index, table(spark, f"{DATA}/sf0.01", "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
     assert 0 <= share < 1
     print(f"share of blocks skipped: {share:.3f}")
+
+
+def test_postings_are_not_shuffled(spark):
+    """Beyond broadcasts, blocks are scored where they lie: what is shuffled after the index is built is questions' ranges and their best rows."""
+    docs, questions = corpus(300)
+    index = search.build(spark.createDataFrame(docs, "doc_id long, text string"), 8)
+    wanted = search.asked(index, spark.createDataFrame(questions, "query_id long, text string"))
+    ranges = search.opened(index, wanted, 3).select("query_id", "range")
+    plan = search.scored(index, wanted, ranges)._jdf.queryExecution().executedPlan().toString()
+    over = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert over and not any("row#" in line or "doc_id#" in line for line in over)
+    assert "Bucketed: true" in plan
+    sums = search.bounded(index, wanted)
+    assert sums.count() == sums.select("query_id", "range").distinct().count() > 0
