@@ -7,9 +7,11 @@ Sets that are so similar share at least four fifths of the larger one. So if all
 prefixes) share one. Common shingles, as counted in a sample, come last in that order, which keeps the groups of texts around a shingle small; the sample
 decides the work only, never the result. Pairs that meet in a group and share enough of their prefixes are compared by counts of
 their shingles in 256 cells, which never differ by more than the sets do, and what is left by whole sets.
-In large groups each text meets few others first, several times and in another order each time; then pairs meet that are not connected yet, so that
+All pairs of a group come out, once for each shingle they share, in groups of less than ``LARGE`` texts only: no more rows than the groups have. In the others each text meets few others first, at the
+first of these shingles that it has, several times and in another order each time; then pairs meet that are not connected yet, so that
 many copies aren't compared pair by pair. There only texts that have the shared shingle in the first ninth of their own order meet those of their size or more: the first shingle that
-similar sets share lies there in the smaller one. Texts that merely share a template have it further back, so a group of them makes no pairs at all.
+similar sets share lies there in the smaller one. Texts that merely share a template have it further back, so a group of them makes no pairs at all. Cells are compared within the task, and
+a pair comes out where it meets first, as far as the first shingles of both tell, not at every shingle that it shares.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ RADIUS, BLOCKS = 6, 8
 #: Documents in whose texts common shingles are counted, about; texts from which on a shingle is common; common shingles at most.
 SAMPLE, COMMON, MOST = 10_000, 4, 100_000
 #: Texts of a shingle from which on few others are met first, how many, and how often, each time in another order.
-LARGE, FEW, TURNS = 64, 2, 2
+LARGE, FEW, TURNS = 4, 2, 2
+#: A text's first shingles of large groups that go with it: at these it meets few, and by them a pair tells whether it has met before.
+HEAD = 8
 #: Pairs that a task holds before it gives them out.
 _HELD = 1 << 17
 #: Pairs whose cells are compared at once.
@@ -118,8 +122,8 @@ def meetings(token: np.ndarray, size: np.ndarray, root: np.ndarray, every: bool,
 
 
 def _dealt(rows: DataFrame, order: list[str], find, out: str) -> DataFrame:
-    """``find`` over whole groups of rows (token, size, key, root, pos, and cells if there) of one token, as arrays; it gives batches of the schema ``out``."""
-    names = ["token", "size", "key", "root", "pos", *(["cells"] if "cells" in rows.columns else [])]
+    """``find`` over whole groups of rows (token, size, key, root, pos, and cells and head if there) of one token, as arrays; it gives batches of the schema ``out``."""
+    names = ["token", "size", "key", "root", "pos", *(["cells", "head"] if "cells" in rows.columns else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in names]
@@ -136,6 +140,7 @@ def _dealt(rows: DataFrame, order: list[str], find, out: str) -> DataFrame:
                 held[k].append(batch.column(k).to_numpy())
             if len(names) > 5:
                 held[5].append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(-1, 256))
+                held[6].append(batch.column(6).flatten().to_numpy().reshape(-1, HEAD))
             if any(len(x) and x[0] != held[0][-1][-1] for x in held[0] if batch.num_rows):  # else the first group is still open
                 yield from close(False)
         if held[0]:
@@ -152,17 +157,30 @@ def tokens_of(classes: DataFrame) -> DataFrame:
     return classes.select(F.posexplode("prefix").alias("pos", "token"), "size", "key", "root").select("token", "size", "key", "root", F.col("pos").cast("long").alias("pos"))
 
 
-def large_groups(classes: DataFrame) -> DataFrame:
-    """token, size, key and pos of the rows whose token ``LARGE`` texts or more share, and whether any of these may be the smaller one of a pair (met)."""
+def groups(classes: DataFrame) -> DataFrame:
+    """token, size, key and pos of the rows whose token texts share, whether ``LARGE`` texts or more do (large), and whether any of them may be the smaller one of a pair (met)."""
 
     def find(token: np.ndarray, size: np.ndarray, key: np.ndarray, root: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         start, end = np.searchsorted(token, token), np.searchsorted(token, token, "right")
-        keep = end - start >= LARGE
+        keep, large = end - start > 1, end - start >= LARGE
         before = np.concatenate([[0], np.cumsum(leads(size, pos))])
         met = before[end] > before[start]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, size, key, pos, met)], names=["token", "size", "key", "pos", "met"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, size, key, pos, large, met)], names=["token", "size", "key", "pos", "large", "met"])
+
+    return _dealt(tokens_of(classes.withColumn("root", F.col("key"))), ["size", "key"], find, "token long, size long, key long, pos long, large boolean, met boolean")
 
-    return _dealt(tokens_of(classes.withColumn("root", F.col("key"))), ["size", "key"], find, "token long, size long, key long, pos long, met boolean")
+
+def large_groups(classes: DataFrame) -> DataFrame:
+    """token, size, key, pos and met of the rows of large groups."""
+    return groups(classes).filter("large").drop("large")
+
+
+def marked(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """key, cells and head (its first ``HEAD`` tokens in their order, the first one again where there are fewer) of the texts in the large groups ``met``."""
+    in_order = F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, HEAD)["token"]
+    heads = met.groupBy("key").agg(in_order.alias("head"))
+    heads = heads.select("key", F.slice(F.concat("head", F.array_repeat(F.col("head")[0], HEAD)), 1, HEAD).alias("head"))
+    return heads.join(classes.select("key", "cells"), "key")
 
 
 def leads(size: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -180,17 +198,25 @@ def apart(cells: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarr
     return out
 
 
-def meet(rows: DataFrame, every: bool, turn: int = 0, most: int | None = None) -> DataFrame:
+def met_before(token: np.ndarray, head: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs surely share a token that comes before this one in their order: one of the left text's head before its place there, that is in the right text's head."""
+    out = np.zeros(len(left), dtype=bool)
+    for i in range(0, len(left), _STEP):
+        a, b = left[i : i + _STEP], right[i : i + _STEP]
+        earlier = ~np.logical_or.accumulate(head[a] == token[a, None], axis=1)
+        out[i : i + _STEP] = (earlier & (head[a, :, None] == head[b, None, :]).any(axis=2)).any(axis=1)
+    return out
+
+
+def meet(rows: DataFrame, every: bool, turn: int = 0) -> DataFrame:
     """a, b, size_a and size_b of pairs of keys that meet at a shingle of their prefixes, once for each such shingle. ``rows``: token, size, key, root, pos.
 
-    With ``cells`` in the rows, the smaller one has to lead, and pairs that cells tell apart are left out before they leave the task; with ``most``, groups of so many texts or more.
+    With ``cells`` and ``head`` in the rows, pairs that cells tell apart are left out before they leave the task; if every pair meets, the smaller one has to lead, and pairs that have met before are left out too.
     """
 
-    def find(token: np.ndarray, size: np.ndarray, key: np.ndarray, root: np.ndarray, pos: np.ndarray, cells: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        if most is not None:
-            keep = np.searchsorted(token, token, "right") - np.searchsorted(token, token) < most
-            token, size, key, root = (x[keep] for x in (token, size, key, root))
-
+    def find(
+        token: np.ndarray, size: np.ndarray, key: np.ndarray, root: np.ndarray, pos: np.ndarray, cells: np.ndarray | None = None, head: np.ndarray | None = None
+    ) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             left, right = (np.concatenate(x) for x in zip(*found))
             swap = key[left] > key[right]
@@ -198,7 +224,10 @@ def meet(rows: DataFrame, every: bool, turn: int = 0, most: int | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[left], key[right], size[left], size[right])], names=["a", "b", "size_a", "size_b"])
 
         found, n = [], 0
-        for left, right in meetings(token, size, root, every, None if cells is None else leads(size, pos)):
+        for left, right in meetings(token, size, root, every, leads(size, pos) if every and cells is not None else None):
+            if cells is not None and every:
+                new = ~met_before(token, head, left, right)
+                left, right = left[new], right[new]
             if cells is not None:
                 near_ = ~apart(cells, size, left, right)
                 left, right = left[near_], right[near_]
@@ -225,23 +254,23 @@ def fingerprint_candidates(classes: DataFrame) -> DataFrame:
 
 
 def few_candidates(large: DataFrame, turn: int) -> DataFrame:
-    """Pairs a, b of keys of large groups, each text with few others in an order of its own for each ``turn``: those that met often, which are worth a look."""
-    met = meet(large, False, turn).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
-    return met.filter((F.col("shared") > 1) & (50 * F.col("shared") >= F.greatest("size_a", "size_b"))).select("a", "b")
+    """Pairs a, b of keys of large groups that cells don't tell apart, each text with few others at the tokens of its head, in an order of its own for each ``turn``."""
+    return meet(large.filter(F.array_contains("head", F.col("token"))), False, turn).select("a", "b").distinct()
 
 
-def candidates(rows: DataFrame, large: DataFrame, unmet: DataFrame) -> DataFrame:
-    """All pairs a, b of keys that meet, are of different roots and may be similar. ``rows``: all tokens; ``large``: those of large groups, with cells.
+def candidates(small: DataFrame, large: DataFrame, unmet: DataFrame) -> DataFrame:
+    """All pairs a, b of keys that meet, are of different roots and may be similar. ``small``: the rows of small groups; ``large``: those of large ones, with cells and head.
 
-    ``shared`` is what two prefixes are known to share. Beyond it the sets share the rest of one of them at most, and what the smaller one has in large groups without
-    leading there (``unmet``: key and how many, written); pairs for which this isn't enough go. A pair that its cells tell apart is counted in small groups only, and is told apart again later.
+    Pairs that meet in a large group come out as they are. Of the others ``shared`` is what they share in small groups, where all pairs are counted. Beyond it their sets share the rest of one of
+    them at most, and what the smaller one has in large groups without leading there (``unmet``: key and how many, written); pairs for which this isn't enough go.
     """
-    met = meet(rows, True, most=LARGE).unionByName(meet(large, True)).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
+    met = meet(small, True).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
     rest = F.greatest(*[F.col(c) - F.floor(F.col(c) / 5) - 1 for c in ("size_a", "size_b")])
     more = [unmet.select(F.col("key").alias(c), F.col("unmet").alias(f"unmet_{c}")) for c in ("a", "b")]
     met = met.join(more[0], "a", "left").join(more[1], "b", "left")
     hidden = F.greatest(*[F.coalesce(f"unmet_{c}", F.lit(0)) for c in ("a", "b")])
-    return met.filter(_enough(F.col("shared") + rest + hidden, F.col("size_a"), F.col("size_b"))).select("a", "b")
+    counted = met.filter(_enough(F.col("shared") + rest + hidden, F.col("size_a"), F.col("size_b"))).select("a", "b")
+    return counted.unionByName(meet(large, True).select("a", "b")).distinct()
 
 
 def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -284,7 +313,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     found = written(prints(docs), "prints")
     classes = found.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "cells", "prefix", "fp")])
     classes = written(classes, "classes")
-    large, edges, roots = written(large_groups(classes), "large"), None, None
+    shared, edges, roots = written(groups(classes), "groups"), None, None
+    large = shared.filter("large AND met")
+    marks = written(marked(classes, large), "marks")
     rooted = lambda rows: (
         rows.withColumn("root", F.col("key")) if roots is None else rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     )
@@ -293,11 +324,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if turn < 0:
             met = fingerprint_candidates(classes)
         elif every:
-            cells = rooted(large.filter("met")).join(classes.select("key", "cells"), "key")
-            unmet = written(large.filter("9 * pos > size").groupBy("key").agg(F.count("*").alias("unmet")), "unmet")
-            met = candidates(tokens_of(rooted(classes)), cells, unmet)
+            unmet = written(shared.filter("large AND 9 * pos > size").groupBy("key").agg(F.count("*").alias("unmet")), "unmet")
+            met = candidates(rooted(shared.filter("NOT large")), rooted(large).join(marks, "key"), unmet)
         else:
-            met = few_candidates(rooted(large), turn)
+            met = few_candidates(rooted(large).join(marks, "key"), turn)
         pairs = written(near(classes, written(met, "pairs")), "near")
         more = written(similar(docs, classes, pairs), "similar")
         edges = more if edges is None else edges.unionByName(more)

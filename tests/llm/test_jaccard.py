@@ -115,6 +115,48 @@ def test_templates_make_no_pairs(spark):
     assert large.count() >= 3000 and large.filter("met").count() == 0
 
 
+def met_rows(spark, monkeypatch, rows):
+    """What stays of these texts, and how many rows came out of the groups around their shingles."""
+    made, meet = [], jaccard.meet
+    with monkeypatch.context() as patch:
+        patch.setattr(jaccard, "COMMON", 10**9)  # no shingle comes last
+        patch.setattr(jaccard, "meet", lambda *a, **k: made.append(jaccard.written(meet(*a, **k), "met")) or made[-1])
+        kept = {r.doc_id for r in jaccard.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    return kept, sum(m.count() for m in made)
+
+
+def test_passages_make_no_squares(spark, monkeypatch):
+    """Texts that share a passage without being similar, five times as many to a passage: what meets grows no faster than the texts."""
+    made = []
+    for n in (12, 60):
+        rows = [(100 * g + k, text.replace("t", f"g{g}t").replace("p", f"g{g}p")) for g in range(3) for k, text in pages(n, 60, 40)]
+        kept, count = met_rows(spark, monkeypatch, rows)
+        assert kept == {i for i, _ in rows}
+        made.append(count)
+    assert made[1] <= 5 * made[0] + 180  # texts in all
+
+
+def test_pairs_meet_once(spark, monkeypatch):
+    """Long texts that are just similar or not quite, which cells don't tell apart: a pair comes out a few times, not once for each of the shingles that it shares."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(2000)]
+    rows = []
+    for k in range(40):
+        copy = list(base)
+        for at in rng.sample(range(2000), 22 + k // 4):
+            copy[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    kept, count = met_rows(spark, monkeypatch, rows)
+    assert kept == slow_kept(rows) and 1 < len(kept) < 40
+    assert count <= 4 * 40 * 39 // 2
+
+
+def test_met_before():
+    token, head = np.array([5, 5, 5, 5]), np.array([[1, 5, 2], [1, 5, 3], [5, 1, 3], [4, 4, 4]])
+    head, left, right = np.pad(head, ((0, 0), (0, jaccard.HEAD - 3)), mode="edge"), np.array([0, 2, 3, 0, 1]), np.array([1, 0, 0, 3, 2])
+    assert jaccard.met_before(token, head, left, right).tolist() == [True, False, False, False, True]
+
+
 def test_meetings(monkeypatch):
     token, size, root = np.array([1, 1, 1, 1, 2, 2]), np.array([8, 8, 9, 20, 5, 5]), np.array([1, 1, 2, 3, 4, 5])
     pairs = lambda every: {(int(a), int(b)) for x, y in jaccard.meetings(token, size, root, every) for a, b in zip(x, y)}
