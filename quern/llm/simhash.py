@@ -223,5 +223,5 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none_"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("text_hash").alias("hash_")))
     kept = written(found.groupBy("root").agg(first.alias("first")).select("first.*").distinct(), "survivors")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id_"), F.col("doc_id").isNull().alias("none_"), F.xxhash64("text").alias("hash_"))
-    joined = rows.join(kept, ["id_", "none_", "hash_"], "left_semi")
+    joined = rows.join(kept.hint("merge"), ["id_", "none_", "hash_"], "left_semi")  # as files ids are small, broadcast they'd be many times that
     return joined.dropDuplicates(["id_", "none_", "hash_"]).select("row.*")

@@ -388,7 +388,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     taken = [r for label in (0, 1) for r in [r for r in ids if r.toxic == label][:sample]]
     wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in taken], "doc_id long")
     texts = {r.doc_id: r.text for r in found.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").collect()}
-    return train([texts[r.doc_id] for r in taken], [int(r.toxic) for r in taken])
+    net = train([texts[r.doc_id] for r in taken], [int(r.toxic) for r in taken])
+    give_back()  # the driver lives on, too
+    return net
 
 
 def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame:
